@@ -1,8 +1,7 @@
 """URL filter: fixed host rules, then rules mined from labelled URLs.
 
-A URL gives a set of tokens: its scheme, the labels of its host and its
-suffixes, path segments, words of segments, and query keys; numbers are left
-out.  FP-growth over the labelled URLs' token sets, each with its label as an
+A URL gives a set of tokens: its scheme, the labels of its host, the words of
+its path, and query keys; numbers are left out.  FP-growth over the labelled URLs' token sets, each with its label as an
 item, gives rules "these tokens imply block", pruned by support, confidence
 and lift, and by dropping a rule when a subset of its tokens is a rule too.
 URLs are matched by an inverted index: each rule is filed under its rarest
@@ -27,6 +26,8 @@ from matrica.llm._shared import materialize
 
 FIXED = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.5
+#: Labelled URLs a rule must hold on at least, whatever their share.
+MIN_COUNT = 20
 #: Rules that may be broadcast; more are joined by shuffle.
 BROADCAST_RULES = 20_000
 _BLOCK = "=block"
@@ -58,21 +59,19 @@ def url_tokens(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     labels = F.split(host, r"\.")
     words = F.split(F.lower(path), r"[^\p{L}\p{N}]+")
-    in_host = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
     keys = F.transform(F.regexp_extract_all(text, F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda k: F.concat(F.lit("?"), k))
-    site = F.array(F.concat(F.lit("site:"), F.array_join(F.slice(labels, -2, 2), ".")), F.concat(F.lit("host:"), host))
-    safe_site = F.when(F.size(labels) >= 2, site).otherwise(F.array().cast("array<string>"))
     tag = lambda c, t: F.transform(c, lambda x: F.concat(F.lit(t), x))
-    every = F.concat(tag(F.array(scheme), "s:"), tag(labels, "h:"), tag(in_host, "h:"), safe_site, tag(words, "p:"), keys)
+    every = F.concat(tag(F.array(scheme), "s:"), tag(labels, "h:"), tag(words, "p:"), keys)
     known = F.filter(every, lambda t: ~t.rlike(r"^[a-z]?:?[0-9]*$"))
     return F.when(text.contains("://"), F.array_distinct(known)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """``(tokens array, support, confidence, lift)``: rules whose consequent is block.
 
     Counting is distributed (FP-growth); a rule must hold on at least
-    ``min_support`` of the labelled URLs, which bounds how many there are.
+    ``min_support`` of the labelled URLs and on ``min_count`` of them, which
+    bounds how many there are.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -82,7 +81,10 @@ def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: f
     shape = "tokens array<string>, support double, confidence double, lift double"
     if not items.where(F.array_contains("items", _BLOCK)).limit(1).count():
         return labelled.sparkSession.createDataFrame([], shape)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    n = items.count()
+    if n < min_count:
+        return labelled.sparkSession.createDataFrame([], shape)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= min_lift))
     rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence", "lift"), "url-rules")
     # A rule with a subset that is a rule too adds nothing to block: found by token, not by pairs of rules.
