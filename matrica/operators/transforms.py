@@ -124,7 +124,9 @@ def scran(frame: CellFrame) -> CellFrame:
 
 @register("tmm")
 def tmm(frame: CellFrame) -> CellFrame:
-    """Trimmed mean of M values against the cell at the 75 % place of library size; dense."""
+    """Trimmed mean of M values against the cell at the 75 % place of library size; dense.
+
+    Values equal to 9 decimals are ties, ordered by gene id."""
     n = frame.n_cells()
     y = frame.dense().withColumn("y", F.col("value") + 0.5)
     lib = y.groupBy("cell_id").agg(F.sum("y").alias("lib"))
@@ -139,7 +141,7 @@ def tmm(frame: CellFrame) -> CellFrame:
     p = frame.n_genes()
     lo, hi = int(0.3 * p), int(0.7 * p)
     cell = Window.partitionBy("cell_id")
-    ranked = ma.withColumn("im", F.row_number().over(cell.orderBy("m", "gene_id")) - 1).withColumn("ia", F.row_number().over(cell.orderBy("a", "gene_id")) - 1)
+    ranked = ma.withColumn("im", F.row_number().over(cell.orderBy(F.round("m", 9), "gene_id")) - 1).withColumn("ia", F.row_number().over(cell.orderBy(F.round("a", 9), "gene_id")) - 1)
     in_m = (F.col("im") >= lo) & (F.col("im") < hi)
     both = in_m & (F.col("ia") >= lo) & (F.col("ia") < hi)
     counted = ranked.withColumn("both", both).withColumn("nb", F.sum(both.cast("int")).over(cell))

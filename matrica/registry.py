@@ -153,7 +153,7 @@ for _name, _sql in {
 ref AS (SELECT cell_id FROM (SELECT cell_id, row_number() OVER (ORDER BY lib, cell_id) - 1 AS i FROM lib), nc WHERE i = floor(0.75 * n)),
 r AS (SELECT gene_id, y AS yr, lib AS lr FROM y JOIN lib USING (cell_id) JOIN ref USING (cell_id)),
 ma AS (SELECT cell_id, gene_id, log2((y / lib) / (yr / lr)) AS m, 0.5 * log2((y / lib) * (yr / lr)) AS a, 1 / ((lib - y) / (lib * y) + (lr - yr) / (lr * yr) + 1e-8) AS w FROM y JOIN lib USING (cell_id) JOIN r USING (gene_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY m, gene_id) - 1 AS im, row_number() OVER (PARTITION BY cell_id ORDER BY a, gene_id) - 1 AS ia, count(*) OVER (PARTITION BY cell_id) AS p FROM ma),
+k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(m, 9), gene_id) - 1 AS im, row_number() OVER (PARTITION BY cell_id ORDER BY round(a, 9), gene_id) - 1 AS ia, count(*) OVER (PARTITION BY cell_id) AS p FROM ma),
 b AS (SELECT *, im >= floor(.3 * p) AND im < floor(.7 * p) AS inm, im >= floor(.3 * p) AND im < floor(.7 * p) AND ia >= floor(.3 * p) AND ia < floor(.7 * p) AS both_ FROM k),
 u AS (SELECT *, sum(both_::INT) OVER (PARTITION BY cell_id) AS nb FROM b), f AS (SELECT cell_id, pow(2, sum(w * m) / sum(w)) AS f FROM u WHERE CASE WHEN nb < 3 THEN inm ELSE both_ END GROUP BY 1),
 g AS (SELECT exp(avg(ln(f + 1e-8))) AS g FROM f) SELECT cell_id, gene_id, round(ln(1 + value / (f / g)), 5) AS value FROM x JOIN f USING (cell_id), g""",
