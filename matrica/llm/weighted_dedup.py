@@ -13,8 +13,8 @@ documents, so the weights mean the same at every size.
 
 Groups: exact copies are folded first and only one of them is sampled.  Of a
 band's bucket no more than a linear number of pairs is made: all pairs of a
-small bucket; in a larger one each member with the bucket's least member and
-with its neighbour in id order.  Links join documents into classes; then each
+small bucket; in a larger one each member with the bucket's leader, which is
+another one in each band.  Links join documents into classes; then each
 bucket that still holds several classes is taken up again, each member with
 the members of other classes in it, unless the triangle inequality of the
 Jaccard distance or the ratio of the total weights rules the pair out.  So no
@@ -319,11 +319,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(signatures(distinct, weights, id_col, text_col, bands, rows), "signatures")
 
     member = sig.select("_id", F.posexplode("bands").alias("band", "code"))
-    sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least")).where("n > 1")
+    # A bucket's leader is least by a hash of its own band, so a group that shares all bands has another leader in each.
+    leader = F.min(F.struct(F.xxhash64("band", "_id").alias("h"), F.col("_id").alias("i")))["i"]
+    sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n"), leader.alias("least")).where("n > 1")
     full = materialize(member.join(sizes, ["band", "code"]), "buckets")
     listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
     all_pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    star = full.where((F.col("n") > small) & (F.col("_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("_id").alias("b"))
+    star = full.where((F.col("n") > small) & (F.col("_id") != F.col("least"))).select(F.least("least", "_id").alias("a"), F.greatest("least", "_id").alias("b"))
     pairs = materialize(all_pairs.union(star).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct()
     sets = materialize(weighted_sets(distinct.join(wanted, distinct[id_col] == wanted["_w"], "left_semi"), id_col, text_col), "sets")
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets that still hold several classes: each member against the members of other classes, as far as the bounds allow.
     large = full.where(F.col("n") > small).join(label, "_id", "left").select("band", "code", "_id", "least", F.coalesce("class", "_id").alias("class"))
     mixed = large.groupBy("band", "code").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("band", "code")
-    near = tested.select(F.col("a").alias("least"), F.col("b").alias("_id"), F.col("sim"))
+    near = tested.select(F.col("a").alias("least"), F.col("b").alias("_id"), "sim").union(tested.select(F.col("b").alias("least"), F.col("a").alias("_id"), "sim"))
     open_ = large.join(mixed, ["band", "code"]).join(near, ["least", "_id"], "left").join(sig.select("_id", "total"), "_id")
     open_ = materialize(open_.withColumn("far", F.when(F.col("_id") == F.col("least"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0)))), "open-buckets")
     if not open_.limit(1).count():
