@@ -11,15 +11,18 @@ width by shingle hash, so what is broadcast does not grow with the corpus, and
 a shingle's frequency is that of its slot.  It is divided by the number of
 documents, so the weights mean the same at every size.
 
-Groups: exact copies are folded first and only one of them is sampled.  Of a
-band's bucket no more than a linear number of pairs is made: all pairs of a
-small bucket; in a larger one each member with the bucket's leader, which is
-another one in each band.  Links join documents into classes; then each
+Groups: exact copies are folded first and only one of them is sampled.  A
+small bucket of a band gives all pairs.  For the members of larger buckets the
+weight is taken that they share with any other such member, from a table of
+fixed width: what a document has for itself can be in no union's shared part,
+so it bounds the similarity of every pair it is in, and documents with too
+little shared weight leave.  The others are compared with the bucket's leader,
+the member that shares most.  Links join documents into classes; then each
 bucket that still holds several classes is taken up again, each member with
-the members of other classes in it, unless the triangle inequality of the
-Jaccard distance or the ratio of the total weights rules the pair out.  So no
-pair that meets in a band is left out, and a bucket of one class, however
-large, costs its size.
+the members of other classes in it, unless the shared weights, the triangle
+inequality of the Jaccard distance or the total weights rule the pair out.  So
+no pair that meets in a band and can be similar is left out, and a bucket of
+one class, however large, costs its size.
 
 Words are runs of ASCII letters, digits and all non-ASCII characters,
 lower-cased.  Defined cases: a null text is alone; texts without words are
@@ -43,6 +46,8 @@ NGRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Slots of the document-frequency table (2**18 counts of 8 bytes are 2 MB, whatever the corpus).
 DF_BITS = 18
+#: Slots of the table of shingles that two members of large buckets have (2**22 bytes); where it is too full, more pairs are compared, none is lost.
+SHARED_BITS = 22
 #: Buckets up to this size give all pairs.
 SMALL = 12
 _STEP = 3 << 20
@@ -128,18 +133,45 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         k = j
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(64 - DF_BITS)).astype(np.int64)
+def _slots(h: np.ndarray, bits: int = DF_BITS) -> np.ndarray:
+    return (h >> _U(64 - bits)).astype(np.int64)
 
 
-def df_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Document counts by slot and the number of documents, over all documents.
+PARTS = 64
+
+
+def _cut(total: np.ndarray, n: int) -> pa.RecordBatch:
+    cut = total.reshape(PARTS, -1)
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "n", "counts"])
 
-    Each partition sends one fixed-size table in pieces; pieces are added by
-    slot range, and what reaches the driver has the table's size.
+
+def _added(pieces: DataFrame, kind: type, most: int | None = None) -> tuple[np.ndarray, int]:
+    """The sum of all partitions' tables (up to ``most``) and of their row counts.
+
+    Tables of one fixed size come in pieces and are added by slot range; what
+    reaches the driver has the table's size.
     """
-    parts = 64
-    width = (1 << DF_BITS) // parts
+
+    def add(table):
+        n, total = sum(table.column("n").to_pylist()), 0
+        for c in table.column("counts"):
+            total = total + np.frombuffer(c.as_buffer(), kind).astype(np.int64)
+        total = (total if most is None else np.minimum(total, most)).astype(kind)
+        return pa.table({"part": table.column("part")[:1], "lot": table.column("lot")[:1], "n": pa.array([n], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "part int, lot int, n bigint, counts binary"
+    # Lots of 256 partitions are added first, so no group holds a table of every partition.
+    each = pieces.select("part", F.floor(F.spark_partition_id() / 256).cast("int").alias("lot"), "n", "counts")
+    lots = each.groupBy("part", "lot").applyInArrow(add, shape)
+    rows = lots.groupBy("part").applyInArrow(add, shape).collect()
+    if not rows:
+        return np.empty(0, kind), 0
+    rows.sort(key=lambda r: r["part"])
+    return np.concatenate([np.frombuffer(r["counts"], kind) for r in rows]), rows[0]["n"]
+
+
+def df_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Document counts by slot and the number of documents, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -151,26 +183,44 @@ def df_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
                 key = np.unique(d << DF_BITS | _slots(h))
                 total += np.bincount(key & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
         if n:
-            cut = total.reshape(parts, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "n", "counts"])
+            yield _cut(total, n)
 
-    def add(table):
-        n = sum(table.column("n").to_pylist())
-        total = np.zeros(width, np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_buffer(), np.int64)
-        return pa.table({"part": table.column("part")[:1], "lot": table.column("lot")[:1], "n": pa.array([n], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    df, n = _added(docs.select(text_col).mapInArrow(count, "part int, n bigint, counts binary"), np.int64)
+    return (df if n else np.zeros(1 << DF_BITS, np.int64)), n
+
+
+def shared_slots(sets: DataFrame) -> np.ndarray:
+    """Which slots two or more of the documents have, as a table of truth values."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << SHARED_BITS, np.uint8), 0
+        for b in batches:
+            n += b.num_rows
+            for blob in b.column(0).to_pylist():
+                at = np.unique(_slots(np.frombuffer(blob, np.uint64, len(blob) // 12), SHARED_BITS))
+                total[at] = np.minimum(total[at] + 1, 2)
+        if n:
+            yield _cut(total, n)
+
+    seen, n = _added(sets.select("set").mapInArrow(count, "part int, n bigint, counts binary"), np.uint8, 2)
+    return seen >= 2 if n else np.zeros(1 << SHARED_BITS, bool)
 
-    shape = "part int, lot int, n bigint, counts binary"
-    each = docs.select(text_col).mapInArrow(count, "part int, n bigint, counts binary")
-    # Lots of 256 partitions are added first, so no group holds a table of every partition.
-    each = each.select("part", F.floor(F.spark_partition_id() / 256).cast("int").alias("lot"), "n", "counts")
-    lots = each.groupBy("part", "lot").applyInArrow(add, shape)
-    rows = lots.groupBy("part").applyInArrow(add, shape).collect()
-    if not rows:
-        return np.zeros(1 << DF_BITS, np.int64), 0
-    rows.sort(key=lambda r: r["part"])
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]), rows[0]["n"]
+
+def masses(sets: DataFrame, weights: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """``(_id, total, common)``: the weight of a document and of what it shares."""
+    spark = sets.sparkSession
+    sent, held = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, common = [], []
+            for blob in b.column(1).to_pylist():
+                h, w = _unpack(blob, sent.value)
+                total.append(float(w.sum()))
+                common.append(float(w[held.value[_slots(h, SHARED_BITS)]].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
+
+    return sets.select("_id", "set").mapInArrow(run, "_id bigint, total double, common double")
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -219,7 +269,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(id, bands array<bigint>, total)``; texts without words are left out."""
+    """``(id, bands array<bigint>)``; texts without words are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,11 +286,10 @@ def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str,
                     key = np.zeros((len(begin), bands), np.uint64)
                     for k in range(rows):
                         key = _mix(key * _TURN[1] + codes[:, :, k])
-                total = np.add.reduceat(w.astype(np.float64), begin)
                 ends = pa.array(np.arange(0, len(begin) * bands + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in d[begin]], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel())), pa.array(total)], ["_id", "bands", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in d[begin]], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["_id", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "_id bigint, bands array<bigint>, total double")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "_id bigint, bands array<bigint>")
 
 
 def weighted_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -308,6 +357,50 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def _possible(total, common, total_r, common_r, threshold: float):
+    """Whether two documents can be similar: what they share is in both common weights."""
+    most = F.least(common, common_r)
+    return most >= threshold * (total + total_r - most) - 1e-6 * (total + total_r)
+
+
+def _large_buckets(members: DataFrame, sets: DataFrame, weights: np.ndarray, sig: DataFrame, threshold: float) -> DataFrame | None:
+    """``(band, code, _id, total, common, bands, lead)`` of the large buckets' members that can be similar to another one; None if there is none."""
+    ids = members.select("_id").distinct()
+    own = materialize(sets.join(ids, "_id", "left_semi"), "large-sets")
+    if not own.limit(1).count():
+        return None
+    mass = masses(own, weights, shared_slots(own)).where(F.col("common") >= threshold * F.col("total") - 1e-6 * F.col("total"))
+    mass = materialize(mass.join(sig, "_id"), "masses")
+    kept = members.select("_id", "band", "code").join(mass, "_id")
+    # The leader shares most of its weight; ties go by the id's hash.
+    lead = F.max(F.struct((F.col("common") / F.col("total")).alias("share"), F.xxhash64("_id").alias("h"), "_id", "total", "common")).alias("lead")
+    return materialize(kept.join(kept.groupBy("band", "code").agg(lead), ["band", "code"]), "large-buckets")
+
+
+def _open_pairs(large: DataFrame, label: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: of large buckets that still hold several classes, the pairs of different classes that can be similar and are not tested."""
+    large = large.join(label, "_id", "left").withColumn("class", F.coalesce("class", "_id"))
+    near = tested.select(F.col("a").alias("_l"), F.col("b").alias("_id"), "sim").union(tested.select(F.col("b").alias("_l"), F.col("a").alias("_id"), "sim"))
+    far = large.join(near, (F.col("lead._id") == near["_l"]) & (large["_id"] == near["_id"]), "left").drop(near["_id"])
+    far = far.withColumn("far", F.when(F.col("_id") == F.col("lead._id"), 0.0).otherwise(1 - F.col("sim")))
+    one = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("m"))
+    top = one.groupBy("band", "code").agg(F.max(F.struct("m", "class"))["class"].alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    cols = ["_id", "class", "total", "common", "far", "bands"]
+    tagged = materialize(far.join(top, ["band", "code"]).select("band", "code", "top", *cols), "open-buckets")
+    # The largest class of a bucket is compared with the rest, and the rest among themselves, never the largest with itself.
+    rest = tagged.where(F.col("class") != F.col("top")).select("band", "code", *[F.col(c).alias(f"{c}_r") for c in cols])
+    met = tagged.join(rest, ["band", "code"]).where(
+        (F.col("class") != F.col("class_r"))
+        & ((F.col("class") == F.col("top")) | (F.col("_id") < F.col("_id_r")))
+        & _possible(F.col("total"), F.col("common"), F.col("total_r"), F.col("common_r"), threshold)
+        & F.coalesce(F.abs(F.col("far") - F.col("far_r")) <= 1 - threshold + 1e-6, F.lit(True))
+        # Only in the first band in which they meet.
+        & (F.array_position(F.zip_with("bands", "bands_r", lambda x, y: x == y), True) == F.col("band") + 1)
+    )
+    found = met.select(F.least("_id", "_id_r").alias("a"), F.greatest("_id", "_id_r").alias("b"))
+    return found.join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """``(id, class_id, keep)``: class_id is the least id of the document's group, keep marks one row of each group."""
     key = F.md5(F.col(text_col))
@@ -319,41 +412,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(signatures(distinct, weights, id_col, text_col, bands, rows), "signatures")
 
     member = sig.select("_id", F.posexplode("bands").alias("band", "code"))
-    # A bucket's leader is least by a hash of its own band, so a group that shares all bands has another leader in each.
-    leader = F.min(F.struct(F.xxhash64("band", "_id").alias("h"), F.col("_id").alias("i")))["i"]
-    sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n"), leader.alias("least")).where("n > 1")
+    sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     full = materialize(member.join(sizes, ["band", "code"]), "buckets")
-    listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
-    all_pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    star = full.where((F.col("n") > small) & (F.col("_id") != F.col("least"))).select(F.least("least", "_id").alias("a"), F.greatest("least", "_id").alias("b"))
-    pairs = materialize(all_pairs.union(star).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct()
+    wanted = full.select(F.col("_id").alias("_w")).distinct()
     sets = materialize(weighted_sets(distinct.join(wanted, distinct[id_col] == wanted["_w"], "left_semi"), id_col, text_col), "sets")
-    tested = materialize(verify(pairs, sets, weights), "tested")
+
+    listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
+    pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+
+    large = _large_buckets(full.where(F.col("n") > small), sets, weights, sig, threshold)
+    if large is not None:
+        star = large.where((F.col("_id") != F.col("lead._id")) & _possible(F.col("total"), F.col("common"), F.col("lead.total"), F.col("lead.common"), threshold))
+        pairs = pairs.union(star.select(F.least("lead._id", "_id").alias("a"), F.greatest("lead._id", "_id").alias("b")))
+    tested = materialize(verify(materialize(pairs.distinct(), "pairs"), sets, weights), "tested")
     links = tested.where(F.col("sim") >= threshold).select("a", "b")
     label = components(sig, links)
 
-    # Buckets that still hold several classes: each member against the members of other classes, as far as the bounds allow.
-    large = full.where(F.col("n") > small).join(label, "_id", "left").select("band", "code", "_id", "least", F.coalesce("class", "_id").alias("class"))
-    mixed = large.groupBy("band", "code").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("band", "code")
-    near = tested.select(F.col("a").alias("least"), F.col("b").alias("_id"), "sim").union(tested.select(F.col("b").alias("least"), F.col("a").alias("_id"), "sim"))
-    open_ = large.join(mixed, ["band", "code"]).join(near, ["least", "_id"], "left").join(sig.select("_id", "total"), "_id")
-    open_ = materialize(open_.withColumn("far", F.when(F.col("_id") == F.col("least"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0)))), "open-buckets")
-    if not open_.limit(1).count():
-        more = None
-    else:
-        # The largest class of a bucket is compared with the rest, and the rest among themselves, never the largest with itself.
-        one = open_.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("m"))
-        top = one.groupBy("band", "code").agg(F.max(F.struct("m", "class"))["class"].alias("top"))
-        tagged = open_.join(top, ["band", "code"])
-        rest = tagged.where(F.col("class") != F.col("top")).select("band", "code", *[F.col(c).alias(f"{c}_r") for c in ("_id", "class", "far", "total")])
-        met = tagged.join(rest, ["band", "code"]).where(
-            (F.col("class") != F.col("class_r"))
-            & (F.abs(F.col("far") - F.col("far_r")) <= 1 - threshold + 1e-9)
-            & (F.least("total", "total_r") >= threshold * F.greatest("total", "total_r") - 1e-9)
-        )
-        more = met.select(F.least("_id", "_id_r").alias("a"), F.greatest("_id", "_id_r").alias("b")).distinct()
-        more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
+    more = None if large is None else materialize(_open_pairs(large, label, tested, threshold), "more-pairs")
     if more is not None and more.limit(1).count():
         again = verify(more, sets, weights).where(F.col("sim") >= threshold).select("a", "b")
         links = materialize(links.union(again), "links")
