@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matrica.frame import CellFrame, from_long
 from matrica.functions import ranks
-from matrica.operators import classification, clustering, contingency, embeddings, neighbors, quality, resampling, summary, tests_de, transforms
+from matrica.operators import batch, classification, clustering, contingency, diagnostics, embeddings, feature_selection, layouts, neighbors, quality, resampling, summary, tests_de, transforms
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -632,6 +632,88 @@ def _(s, d):
     return clustering.hierarchical(points(s, d), 5, method="average")
 
 
+# --- choice of genes, batches, layouts ----------------------------------------------------
+
+
+@query("hvg_pearson_residuals", _M + ", c AS (SELECT gene_id, sum(value) AS g FROM x GROUP BY 1), s AS (SELECT sum(value) + 1e-10 AS s FROM x), q AS (SELECT grid.*, coalesce(t, 0) * g / s AS mu FROM grid LEFT JOIN tot USING (cell_id) JOIN c USING (gene_id), s) SELECT gene_id, round(var_pop(greatest(-sqrt(n), least(sqrt(n), (value - mu) / sqrt(mu + mu * mu / 100 + 1e-10)))), 5) AS score FROM q, nc GROUP BY 1")
+def _(s, d):
+    return rounded(feature_selection.highly_variable(frame(s, d), "pearson_residuals", 8).select("gene_id", "score"), 5)
+
+
+@query("hvg_cell_ranger", _M + ", m AS (SELECT gene_id, avg(value) AS mean, var_samp(value) AS var FROM grid GROUP BY 1), d AS (SELECT *, var / nullif(mean, 0) AS d, ntile(20) OVER (ORDER BY mean, gene_id) AS bin FROM m), mid AS (SELECT bin, median(d) AS mid FROM d GROUP BY 1), o AS (SELECT d.*, mid, abs(d - mid) AS off FROM d JOIN mid USING (bin)), mad AS (SELECT bin, median(off) AS mad FROM o GROUP BY 1) SELECT gene_id, round(coalesce((d - mid) / nullif(mad, 0), 0), 5) + 0.0 AS score FROM o JOIN mad USING (bin)")
+def _(s, d):
+    return rounded(feature_selection.highly_variable(frame(s, d), "cell_ranger", 8).select("gene_id", "score"), 5)
+
+
+@query("hvg_seurat_v3")
+def _(s, d):
+    return feature_selection.highly_variable(frame(s, d), "seurat_v3", 8)
+
+
+@query("binned_information", _M + ", cu AS (SELECT gene_id, list_distinct(quantile_cont(value, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS c FROM grid GROUP BY 1), b AS (SELECT cell_id, gene_id, label, len(list_filter(c, lambda z: z <= value)) AS bin FROM grid JOIN cu USING (gene_id) JOIN obs USING (cell_id)), j AS (SELECT gene_id, bin, label, count(*)::DOUBLE AS nij FROM b GROUP BY 1, 2, 3), k AS (SELECT *, sum(nij) OVER (PARTITION BY gene_id, bin) AS ni, sum(nij) OVER (PARTITION BY gene_id, label) AS nj, sum(nij) OVER (PARTITION BY gene_id) AS n FROM j) SELECT gene_id, round(sum(nij / n * ln(nij * n / (ni * nj))), 8) + 0.0 AS mi FROM k GROUP BY 1")
+def _(s, d):
+    f = frame(s, d)
+    return rounded(feature_selection.binned_information(feature_selection.binned(f).join(f.obs.select("cell_id", "label"), "cell_id"), ["gene_id"], "bin", "label"), 8)
+
+
+@query("mrmr")
+def _(s, d):
+    return feature_selection.mrmr(frame(s, d), "label", 3)
+
+
+@query("mutual_information")
+def _(s, d):
+    return feature_selection.mutual_information(frame(s, d), "label", 10)
+
+
+@query("shadow_features")
+def _(s, d):
+    return feature_selection.shadow_features(frame(s, d), "label", 20)
+
+
+@query("component_regression", "WITH e AS (SELECT (vec_id % 3) AS b, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pc FROM embeddings), c AS (SELECT b, pc, v, dense_rank() OVER (ORDER BY b) AS code FROM e), r AS (SELECT pc, regr_r2(v, code) AS r2, var_pop(v) AS var FROM c GROUP BY 1) SELECT round(sum(r2 * var) / sum(var), 8) AS score FROM r")
+def _(s, d):
+    return rounded(batch.component_regression(points(s, d)), 8)
+
+
+@query("combat")
+def _(s, d):
+    return rounded(batch.combat(frame(s, d), "batch").layers["combat"])
+
+
+@query("harmony")
+def _(s, d):
+    return batch.harmony(points(s, d))
+
+
+@query("mutual_neighbours")
+def _(s, d):
+    return batch.mutual_neighbours(points(s, d))
+
+
+@query("normality_per_gene")
+def _(s, d):
+    return rounded(diagnostics.normality_per_gene(frame(s, d)))
+
+
+@query("box_m")
+def _(s, d):
+    r = diagnostics.box_m(points(s, d).select("cell_id", F.slice("vec", 1, 8).alias("vec"), F.col("batch").alias("grp")))
+    return s.createDataFrame([(r["m"], r["p_value"], r["recommendation"])], "m double, p_value double, recommendation string")
+
+
+for _m in ("umap", "tsne", "diffusion_map", "force_directed"):
+
+    @query(_m)
+    def _(s, d, m=_m):
+        return getattr(layouts, m)(points(s, d))
+
+
+@query("spectral_clustering")
+def _(s, d):
+    return layouts.spectral_clustering(points(s, d), 5)
+
+
 # --- streaming extension --------------------------------------------------------------
 
 
