@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,13 +24,19 @@ def _poly(c: tuple[float, ...], x: float) -> float:
     return sum(k * x**i for i, k in enumerate(c))
 
 
+@lru_cache(maxsize=32)
+def _scores(n: int) -> tuple[float, ...]:
+    """Approximate normal order statistics of a sample of ``n``."""
+    return tuple(norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1))
+
+
 def shapiro(x: np.ndarray) -> tuple[float, float]:
     """W and its p-value; NaN for fewer than three or equal values."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
     if n < 3 or x[-1] - x[0] < 1e-19:
         return math.nan, math.nan
-    m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    m = np.array(_scores(n))
     mm = float(m @ m)
     a = np.zeros(n)
     if n == 3:
