@@ -1,8 +1,10 @@
 """License scan by sentence rules.
 
-A text is cut into sentences; a sentence, normalised to lower-case words, is
-looked up among the known sentences of license texts and notices, which gives
-it an identifier.  The identifiers of a document, in order, are matched
+A text is cut into sentences at ``.``, ``;`` or ``:`` before white space and at
+lines without words; a sentence, or whole lines of one, normalised to
+lower-case words, is looked up among the known sentences of license texts and
+notices, which gives it an identifier.  A line end inside a sentence is white
+space, so hard-wrapped texts, also behind comment signs, are read as others.  The identifiers of a document, in order, are matched
 against ordered rules, each a run of identifiers: a rule that is found takes
 its identifiers out, so a longer rule standing first (a whole license) keeps
 its parts from being read as another (a shorter license sharing sentences).
@@ -83,10 +85,10 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", ["isc_grant"]),
 ]
 
-#: Sentences end at line ends, and at ``.``, ``;`` or ``:`` before white space.
+#: How the SQL form cuts sentences: also at every line end, so it finds no sentence that is wrapped.
 CUT = r"\n+|[.;:][ \t]+"
 #: Every known sentence has one of these, so other texts need not be cut.
-ANCHOR = r"(?i)licen[sc]|spdx|mit license|copyright|permission|redistribut|free software|warrant|gplv|cc0"
+ANCHOR = r"(?i)licen[sc]|spdx|copyright|permission|redistribut|free\s+software|warrant|gplv|cc0"
 
 
 def normal(sentence: str) -> str:
@@ -108,13 +110,29 @@ KNOWN = known_sentences()
 assert all(re.search(ANCHOR, s) or re.search(ANCHOR, k) for k, s in KNOWN.items() if not k.startswith(("you may",)))
 
 
+#: Marks in a text brought to words: a sentence's end, and an empty line.
+_END, _EMPTY = "\x01", "\x02"
+
+
+def _worded(text: Column) -> Column:
+    """Lower-case words of ASCII letters and digits.  Between two of them stands one mark: ``_EMPTY``
+    for a line without words, else ``_END`` for a sentence's end, else a line break, else a space."""
+    t = F.regexp_replace(F.lower(F.translate(text, _END + _EMPTY, "  ")), r"[.;:](?=\s|$)", _END)
+    t = F.regexp_replace(F.trim(F.regexp_replace(t, rf"[^a-z0-9\n{_END}]+", " ")), rf" ?([\n{_END}]) ?", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, f"{_END}+", _END), rf"{_END}?\n{_END}?\n[\n{_END}]*", _EMPTY)
+    return F.regexp_replace(t, rf"[\n{_END}]{{2,}}", _END)
+
+
+def _pattern(sentences: list[str]) -> str:
+    """Any of the sentences, the longest first, from the start of a line or sentence to the end of one; lines may break between words."""
+    return f"(?<![a-z0-9 ])(?:{'|'.join(s.replace(' ', '[ ' + chr(10) + ']') for s in sorted(sentences, key=len, reverse=True))})(?![a-z0-9 ])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order, runs of the same one as one."""
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    longest = max(map(len, KNOWN))
-    parts = F.filter(F.split(text, CUT), lambda s: (F.length(s) >= 3) & (F.length(s) <= 4 * longest))
-    keys = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(F.filter(keys, lambda s: s.isin(list(KNOWN))), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(_worded(text), F.lit(_pattern(list(KNOWN))), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     once = F.transform(F.array(ids), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))[0]
     return F.when(text.rlike(ANCHOR), once).otherwise(F.array().cast("array<string>"))
 

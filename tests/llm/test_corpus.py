@@ -136,6 +136,27 @@ def test_license_rules(spark):
     assert got == {0: [], 1: [], 2: ["MIT"], 3: ["Apache-2.0"], 4: ["MIT"], 5: [], 6: ["MIT", "CC-BY-NC-4.0"]}
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    wrap = lambda *keys, lead="", end=".\n", width=72: end.join("\n".join(lead + x for x in textwrap.wrap(licenses.SENTENCES[k][0], width)) for k in keys) + "."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance\nwith the License.\nYou may obtain a copy of the\nLicense at\n\n  http://www.apache.org/licenses/LICENSE-2.0\n'
+    gpl = licenses.SENTENCES["gpl_free"][0]
+    texts = [
+        "Copyright (c) 2020 X\n\n" + wrap("mit_grant", "mit_notice", "asis_mit", end=":\n\n"),
+        "/*\n" + wrap("mit_grant", "mit_notice", "asis_mit", lead=" * ", end=".\n *\n") + "\n */",
+        wrap("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", end=".\r\n  1. ", width=60).replace("\n", "\r\n"),
+        "\n".join("# " + x for x in apache.split("\n")),
+        "\n".join(textwrap.wrap(gpl, 70)) + ".\n",
+        "Licensed under the\n\nMIT License or so",
+        "Licensed under the MIT. License",
+        "first line\nReleased under the\nMIT License\nlast line",
+        "漢" * 50_000 + " . ; : \n" * 20_000 + "MIT License",
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {0: ["MIT"], 1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0-or-later"], 5: [], 6: [], 7: ["MIT"], 8: ["MIT"]}
+
+
 def test_crf_learns_lines(spark):
     r = random.Random(5)
     good = ["\n".join(words(8, r.random()) for _ in range(r.randrange(1, 6))) for _ in range(60)]
