@@ -56,6 +56,16 @@ SENTENCES: dict[str, list[str]] = {
     "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
 }
 
+_GPL = "you can redistribute it and/or modify it under the terms of the GNU General Public License"
+_FSF = "as published by the Free Software Foundation"
+#: Other wordings of notices, where what comes after a ``;`` or ``,`` says which version it is.
+WORDINGS: dict[str, list[str]] = {
+    "gpl_free": [f"{_GPL} {_FSF}{c} either version 3 of the License, or (at your option) any later version" for c in ",;"],
+    "gpl2_free": [f"{_GPL} {_FSF}{c} either version 2 of the License, or (at your option) any later version" for c in ",;"],
+    **{f"gpl{v}_only": [f"{_GPL} {x}" for x in (*(f"{_FSF}{c} version {v}{y}" for c in ",;" for y in ("", " of the License", " of the License only", " only")), f"version {v} {_FSF}", f"version {v} only {_FSF}")] for v in (2, 3)},
+    "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+}
+
 #: Ordered: the first rules win the identifiers they share with later ones.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit_short", "mit_grant", "mit_notice", "asis_mit"]),
@@ -85,6 +95,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", ["isc_grant"]),
 ]
 
+#: Rules of the identifiers that only ``WORDINGS`` has; they share none with the others but the notice's end, so they stand first.
+ONLY_RULES: list[tuple[str, list[str]]] = [(f"GPL-{v}.0-only", [f"gpl{v}_only", *more]) for more in (["gpl_hope", "gpl_more"], []) for v in (2, 3)]
+
 #: How the SQL form cuts sentences: also at every line end, so it finds no sentence that is wrapped.
 CUT = r"\n+|[.;:][ \t]+"
 #: Every known sentence has one of these, so other texts need not be cut.
@@ -97,7 +110,7 @@ def normal(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier.  A known sentence that the cut divides is stored by its parts: all but the last are carried by the last."""
+    """Normalised sentence to identifier, for the SQL form: of a known sentence that the cut divides only the longest part, so it takes every SPDX line for one license."""
     out: dict[str, str] = {}
     for key, variants in SENTENCES.items():
         for v in variants:
@@ -107,9 +120,12 @@ def known_sentences() -> dict[str, str]:
 
 
 KNOWN = known_sentences()
-assert all(re.search(ANCHOR, s) or re.search(ANCHOR, k) for k, s in KNOWN.items() if not k.startswith(("you may",)))
 
 
+#: What is looked for: identifier by normalised sentence, whole.
+WHOLE = {normal(v): key for table in (SENTENCES, WORDINGS) for key, variants in table.items() for v in variants}
+assert all(re.search(ANCHOR, s.replace(" ", "\n")) for s in WHOLE)
+
 #: Marks in a text brought to words: a sentence's end, and an empty line.
 _END, _EMPTY = "\x01", "\x02"
 
@@ -124,22 +140,28 @@ def _worded(text: Column) -> Column:
 
 
 def _pattern(sentences: list[str]) -> str:
-    """Any of the sentences, the longest first, from the start of a line or sentence to the end of one; lines may break between words."""
-    return f"(?<![a-z0-9 ])(?:{'|'.join(s.replace(' ', '[ ' + chr(10) + ']') for s in sorted(sentences, key=len, reverse=True))})(?![a-z0-9 ])"
+    """Any of the sentences, the longest first, from the start of a line or sentence to the end of one.
+
+    Lines may break between words; where the sentence itself is cut, all its parts must follow each other.
+    """
+    lines, parts = "[ \n]", f"[ \n{_END}]"
+    forms = {parts.join(normal(p).replace(" ", lines) for p in re.split(CUT, s) if normal(p)): len(normal(s)) for s in sentences}
+    return f"(?<![a-z0-9 ])(?:{'|'.join(sorted(forms, key=lambda f: -forms[f]))})(?![a-z0-9 ])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order, runs of the same one as one."""
-    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    found = F.regexp_extract_all(_worded(text), F.lit(_pattern(list(KNOWN))), F.lit(0))
-    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
+    table = F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair])
+    known = [v for table in (SENTENCES, WORDINGS) for variants in table.values() for v in variants]
+    found = F.regexp_extract_all(_worded(text), F.lit(_pattern(known)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n" + _END, "  ")))
     once = F.transform(F.array(ids), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))[0]
     return F.when(text.rlike(ANCHOR), once).otherwise(F.array().cast("array<string>"))
 
 
 def license_rules(ids: Column) -> Column:
     """Licenses of the rules found, in rule order, each once."""
-    rules = F.array(*[F.struct(F.lit("," + ",,".join(seq) + ",").alias("run"), F.lit(name).alias("name")) for name, seq in RULES])
+    rules = F.array(*[F.struct(F.lit("," + ",,".join(seq) + ",").alias("run"), F.lit(name).alias("name")) for name, seq in ONLY_RULES + RULES])
     start = F.struct(F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit(","), x, F.lit(",")))).alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:

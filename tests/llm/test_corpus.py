@@ -157,6 +157,27 @@ def test_wrapped_licenses(spark):
     assert got == {0: ["MIT"], 1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0-or-later"], 5: [], 6: [], 7: ["MIT"], 8: ["MIT"]}
 
 
+def test_parts_of_license_sentences(spark):
+    gpl = "%s is free software%s you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation%s %s.\n"
+    later = "either version %d of the License, or\n(at your option) any later version"
+    end = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    cases = [
+        (gpl % ("This program", ";", ";", later % 2), ["GPL-2.0-or-later"]),
+        (gpl % ("This program", ";", ";", later % 3) + end, ["GPL-3.0-or-later"]),
+        (gpl % ("Frob", ":", ",", later % 3) + end, ["GPL-3.0-or-later"]),
+        (gpl % ("This program", ";", ",", later % 2) + end, ["GPL-2.0-or-later"]),
+        (gpl % ("This program", ";", ";", "version 2 of the License") + end, ["GPL-2.0-only"]),
+        (gpl % ("This program", ":", ",", "version 3"), ["GPL-3.0-only"]),
+        (gpl % ("This program", ";", ";", later % 1), []),
+        *((f"# SPDX-License-Identifier: {x}\nimport y\n", [want]) for x, want in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("BSD-2-Clause", "BSD-2-Clause"), ("MPL-2.0", "MPL-2.0"))),
+        ("SPDX-License-Identifier: Zlib", []),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 1.1. If a copy", []),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, [t for t, _ in cases])).collect()}
+    assert got == dict(enumerate(w for _, w in cases))
+
+
 def test_crf_learns_lines(spark):
     r = random.Random(5)
     good = ["\n".join(words(8, r.random()) for _ in range(r.randrange(1, 6))) for _ in range(60)]
