@@ -273,11 +273,12 @@ def unit_keys(html: str | None) -> tuple[str, list[str]]:
 
 
 def _plain(top: Node) -> list[str]:
-    """Blocks that are in no container: what tells one article from another."""
+    """Blocks that are in no container, or all if there is none: what tells one article from another."""
     out: list[str] = []
     for k in top.kids:
         if isinstance(k, str):
-            out.append(k)
+            if k.strip():
+                out.append(k)
         elif k.tag not in _UNITS:
             out += blocks(k)
     return out or blocks(top)

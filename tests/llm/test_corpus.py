@@ -257,6 +257,12 @@ def test_repeated_articles_are_no_template(spark):
     assert {r["text"] for r in got.collect()} == {"T\nSame passage"}
 
 
+def test_template_of_pages_all_in_containers(spark):
+    rows = [(i, "http://h.org/%d" % i, "<article>\n<div><p>Text %d</p></div>\n<div class=box>Read us daily</div>\n</article>" % i) for i in range(12)]
+    got = site_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {i: "Text %d" % i for i in range(12)}
+
+
 def test_url_rules_and_mining(spark):
     urls = [f"http://{'pills' if i % 2 else 'news'}.site{i % 7}.net/{'buy' if i % 2 else 'read'}/{i}" for i in range(200)]
     lab = spark.createDataFrame([(u, bool(i % 2)) for i, u in enumerate(urls)], "url string, block boolean")
