@@ -2,9 +2,9 @@
 
 Pages are parsed into trees.  Subtrees that are boilerplate by their element,
 role or class go first.  For the rest, each container's subtree is hashed and
-counted per host in Spark: one that recurs on many of a host's pages, among
-pages whose articles differ, is the site's template and is deleted.  Copies of
-one article count once, and bare paragraphs inside a page's article are never
+counted per host in Spark: one that recurs with many of a host's different
+articles, by their share or on a large host by their number, is the site's
+template and is deleted.  Copies of one article count once, in the share too, and bare paragraphs inside a page's article are never
 candidates, so repeated articles and passages stay.  Counting is a grouped sum
 over (host, hash) with map-side combining; hits go back by page, so a host
 with a third of all pages is spread like any other.
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from matrica.llm._shared import materialize
 
-#: A subtree is a template from so many pages (with different articles) of its host on, and so large a share of them.
+#: A subtree is a template from so many different articles of its host on, and so large a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: From so many different articles on it is one whatever the share, as on large hosts a section's template has a small one.
+SURE_PAGES = 200
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video".split())
@@ -266,8 +268,6 @@ def unit_keys(html: str | None) -> tuple[str, list[str]]:
                 stack.append(k)
                 if k.tag in _UNITS:
                     keys.add(subtree_key(k))
-    if not keys:
-        return "", []
     whole = hashlib.md5("\n".join(b for b in _plain(top)).encode("utf-8", "replace")).hexdigest()
     return whole, sorted(keys)
 
@@ -295,7 +295,7 @@ def host_key(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def template_keys(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_keys(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, sure_pages: int = SURE_PAGES) -> DataFrame:
     """``(id, key)``: containers of each page that are templates of its host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,17 +307,18 @@ def template_keys(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
 
     src = pages.select(F.col(id_col).alias("_id"), host_key(F.col(url_col)).alias("_host"), F.col(html_col))
     units = src.mapInArrow(run, f"_id {dict(pages.dtypes)[id_col]}, _host string, _article string, _keys array<string>")
-    units = materialize(units.where(F.size("_keys") > 0), "page-units")
+    units = materialize(units, "page-units")
     each = units.select("_id", "_host", "_article", F.explode("_keys").alias("_key"))
     seen = each.groupBy("_host", "_key", "_article").agg(F.lit(1).alias("x")).groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("n"))
-    hosts = src.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    bad = seen.where(F.col("n") >= min_pages).join(hosts, "_host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("_host", "_key")
+    hosts = units.groupBy("_host", "_article").agg(F.lit(1).alias("x")).groupBy("_host").agg(F.count(F.lit(1)).alias("articles"))
+    seen = seen.where(F.col("n") >= min_pages).join(hosts, "_host")
+    bad = seen.where((F.col("n") >= F.lit(min_share) * F.col("articles")) | (F.col("n") >= sure_pages)).select("_host", "_key")
     return each.join(bad, ["_host", "_key"], "left_semi").select("_id", "_key")
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, sure_pages: int = SURE_PAGES) -> DataFrame:
     """``(id, url, text, n_chars)`` for every page."""
-    hits = template_keys(pages, id_col, url_col, html_col, min_pages, min_share).groupBy("_id").agg(F.collect_set("_key").alias("_gone"))
+    hits = template_keys(pages, id_col, url_col, html_col, min_pages, min_share, sure_pages).groupBy("_id").agg(F.collect_set("_key").alias("_gone"))
     hits = materialize(hits, "page-templates")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
     if hits.limit(1).count():

@@ -263,6 +263,16 @@ def test_template_of_pages_all_in_containers(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == {i: "Text %d" % i for i in range(12)}
 
 
+def test_template_share_of_different_articles(spark):
+    page = lambda i, more="": "<article><p>Text %d</p>%s</article>" % (i, more)
+    box = "<div>Read us daily</div>"
+    copied = [(i, "http://copied.org/%d" % i, page(min(i, 10), box if i < 10 else "")) for i in range(200)]
+    large = [(1000 + i, "http://large.org/%d" % i, page(i, box if i < 240 else "<div>Just once or twice %d</div>" % (i // 4))) for i in range(3000)]
+    got = {r["page_id"]: r["text"] for r in site_templates.main_texts(spark.createDataFrame(copied + large, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Text %d" % min(i, 10) for i in range(200)) and all(got[1000 + i] == "Text %d" % i for i in range(240))
+    assert all(got[1000 + i] == "Text %d\nJust once or twice %d" % (i, i // 4) for i in range(240, 3000))
+
+
 def test_url_rules_and_mining(spark):
     urls = [f"http://{'pills' if i % 2 else 'news'}.site{i % 7}.net/{'buy' if i % 2 else 'read'}/{i}" for i in range(200)]
     lab = spark.createDataFrame([(u, bool(i % 2)) for i, u in enumerate(urls)], "url string, block boolean")
