@@ -6,9 +6,11 @@ two documents draw the same one with probability equal to their weighted
 Jaccard similarity; samples are banded, documents meeting in a band are
 candidates, and every candidate is verified on the whole weighted sets.
 
-Document frequencies are counted over all documents into a table of fixed
-width by shingle hash, so what is broadcast does not grow with the corpus, and
-a shingle's frequency is that of its slot.  It is divided by the number of
+Document frequencies are counted over all documents.  For the samples they go
+into a table of fixed width by shingle hash, so what is broadcast does not grow
+with the corpus.  For the candidates' sets, on which every verdict and bound is
+taken, they are exact: counts by shingle hash, added per partition, are
+shuffled by hash range and looked up there.  They are divided by the number of
 documents, so the weights mean the same at every size.
 
 Groups: exact copies are folded first and only one of them is sampled.  A
@@ -51,6 +53,8 @@ SHARED_BITS = 22
 #: Buckets up to this size give all pairs.
 SMALL = 12
 _STEP = 3 << 20
+#: Shingles to a group of the exact count, and those a task holds before it sends their counts.
+GROUP, HELD = 1 << 20, 1 << 21
 
 _U = np.uint64
 _MIXED = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -206,16 +210,16 @@ def shared_slots(sets: DataFrame) -> np.ndarray:
     return seen >= 2 if n else np.zeros(1 << SHARED_BITS, bool)
 
 
-def masses(sets: DataFrame, weights: np.ndarray, shared: np.ndarray) -> DataFrame:
+def masses(sets: DataFrame, shared: np.ndarray) -> DataFrame:
     """``(_id, total, common)``: the weight of a document and of what it shares."""
     spark = sets.sparkSession
-    sent, held = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(shared)
+    held = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, common = [], []
             for blob in b.column(1).to_pylist():
-                h, w = _unpack(blob, sent.value)
+                h, w = _unpack(blob)
                 total.append(float(w.sum()))
                 common.append(float(w[held.value[_slots(h, SHARED_BITS)]].sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
@@ -292,28 +296,106 @@ def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str,
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "_id bigint, bands array<bigint>")
 
 
-def weighted_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, set binary)``: sorted shingle hashes, then their counts."""
+def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(group, places)`` of the groups that some of the hashes are in, ascending."""
+    group = ((h >> _U(20)) % _U(groups)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    at = np.flatnonzero(np.diff(group[order], prepend=-1))
+    for x, y in zip(at, [*at[1:], len(h)]):
+        yield int(group[order[x]]), order[x:y]
+
+
+_ASKED = "group int, chunk bigint, h binary, n binary"
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["group", "chunk", "h", "n"])
+
+
+def shingle_counts(docs: DataFrame, text_col: str, groups: int) -> DataFrame:
+    """Hashes and document counts by group, added up for ``HELD`` shingles at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def added() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return _asked([(g, -1, h[at].tobytes(), n[at].astype(np.int64).tobytes()) for g, at in _by_group(h, groups)])
+
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for _, part in _chunks(texts, texts):
+                held.append(shingles(part)[1])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield added()
+                    held, size = [], 0
+        if size:
+            yield added()
+
+    return docs.select(text_col).mapInArrow(run, _ASKED)
+
+
+def weighted_sets(docs: DataFrame, every: DataFrame, df: np.ndarray, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, set binary)`` of ``docs``: sorted shingle hashes, then their weights by the exact frequencies among the ``n`` documents of ``every``."""
+    groups = max(256, int(df.sum()) // GROUP + 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in _chunks(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
                 d, h, tf = shingles(texts)
-                cut = np.searchsorted(d, np.arange(len(texts) + 1))
-                sets = [h[x:y].tobytes() + tf[x:y].astype(np.int32).tobytes() for x, y in zip(cut, cut[1:])]
+                size = np.bincount(d, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["ids", "sizes", "h", "tf"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.unique(np.frombuffer(blob, np.uint64))
+                if len(h):
+                    yield _asked([(g, chunk, h[at].tobytes(), b"") for g, at in _by_group(h, groups)])
+
+    def answer(table: pa.Table) -> pa.Table:
+        chunk, hs, ns = (table.column(c).to_pylist() for c in ("chunk", "h", "n"))
+        told = [k for k, c in enumerate(chunk) if c < 0]
+        asked = [k for k, c in enumerate(chunk) if c >= 0]
+        h, total = np.frombuffer(b"".join([hs[k] for k in told]), np.uint64), np.frombuffer(b"".join([ns[k] for k in told]), np.int64)
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h, total = h[order], total[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, total = h[at], np.add.reduceat(total, at)
+        counts = [total[np.searchsorted(h, np.frombuffer(hs[k], np.uint64))].tobytes() for k in asked]
+        group = table.column("group")[0].as_py()
+        return pa.table({"chunk": pa.array([chunk[k] for k in asked], pa.int64()), "group": pa.array([group] * len(asked), pa.int32()), "n": pa.array(counts, pa.binary())})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, sizes, blob, tfs, got in zip(*(b.column(k).to_pylist() for k in range(5))):
+                h = np.frombuffer(blob, np.uint64)
+                own, back = np.unique(h, return_inverse=True)
+                count = np.zeros(len(own), np.int64)
+                for (_, at), part in zip(_by_group(own, groups), sorted(got or [], key=lambda g: g["group"]), strict=True):
+                    count[at] = np.frombuffer(part["n"], np.int64)
+                w = np.frombuffer(tfs, np.int32) * idf(count, n)[back]
+                ends = np.cumsum([0, *sizes])
+                sets = [h[x:y].tobytes() + w[x:y].astype(np.float32).tobytes() for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["_id", "set"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "_id bigint, set binary")
+    packs = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pack, "ids array<bigint>, sizes array<int>, h binary, tf binary")
+    packs = materialize(packs.withColumn("chunk", F.monotonically_increasing_id()), "packs")
+    asks = packs.select("chunk", "h").mapInArrow(ask, _ASKED)
+    answers = shingle_counts(every, text_col, groups).union(asks).groupBy("group").applyInArrow(answer, "chunk bigint, group int, n binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("group", "n")).alias("got"))
+    return packs.join(answers, "chunk", "left").select("ids", "sizes", "h", "tf", "got").mapInArrow(weigh, "_id bigint, set binary")
 
 
-def _unpack(blob: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
-    h = np.frombuffer(blob, np.uint64, n)
-    return h, np.frombuffer(blob, np.int32, n, n * 8) * table[_slots(h)].astype(np.float64)
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.float32, n, n * 8).astype(np.float64)
 
 
-def weighted_jaccard(x: bytes, y: bytes, table: np.ndarray) -> float:
-    (a, u), (b, v) = _unpack(x, table), _unpack(y, table)
+def weighted_jaccard(x: bytes, y: bytes) -> float:
+    (a, u), (b, v) = _unpack(x), _unpack(y)
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     both = a[at] == b if len(a) else np.zeros(len(b), bool)
@@ -322,13 +404,12 @@ def weighted_jaccard(x: bytes, y: bytes, table: np.ndarray) -> float:
     return float(shared / union) if union > 0 else 0.0
 
 
-def verify(pairs: DataFrame, sets: DataFrame, weights: np.ndarray) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b, sim)`` of every pair ``(a, b)``."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (big.slice(k, 256) for big in batches for k in range(0, big.num_rows, 256)):
-            sims = [weighted_jaccard(x, y, sent.value) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            sims = [weighted_jaccard(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     left = sets.select(F.col("_id").alias("a"), F.col("set").alias("x"))
@@ -363,13 +444,13 @@ def _possible(total, common, total_r, common_r, threshold: float):
     return most >= threshold * (total + total_r - most) - 1e-6 * (total + total_r)
 
 
-def _large_buckets(members: DataFrame, sets: DataFrame, weights: np.ndarray, sig: DataFrame, threshold: float) -> DataFrame | None:
+def _large_buckets(members: DataFrame, sets: DataFrame, sig: DataFrame, threshold: float) -> DataFrame | None:
     """``(band, code, _id, total, common, bands, lead)`` of the large buckets' members that can be similar to another one; None if there is none."""
     ids = members.select("_id").distinct()
     own = materialize(sets.join(ids, "_id", "left_semi"), "large-sets")
     if not own.limit(1).count():
         return None
-    mass = masses(own, weights, shared_slots(own)).where(F.col("common") >= threshold * F.col("total") - 1e-6 * F.col("total"))
+    mass = masses(own, shared_slots(own)).where(F.col("common") >= threshold * F.col("total") - 1e-6 * F.col("total"))
     mass = materialize(mass.join(sig, "_id"), "masses")
     kept = members.select("_id", "band", "code").join(mass, "_id")
     # The leader shares most of its weight; ties go by the id's hash.
@@ -415,22 +496,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     full = materialize(member.join(sizes, ["band", "code"]), "buckets")
     wanted = full.select(F.col("_id").alias("_w")).distinct()
-    sets = materialize(weighted_sets(distinct.join(wanted, distinct[id_col] == wanted["_w"], "left_semi"), id_col, text_col), "sets")
+    sets = materialize(weighted_sets(distinct.join(wanted, distinct[id_col] == wanted["_w"], "left_semi"), docs, df, n, id_col, text_col), "sets")
 
     listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
     pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
 
-    large = _large_buckets(full.where(F.col("n") > small), sets, weights, sig, threshold)
+    large = _large_buckets(full.where(F.col("n") > small), sets, sig, threshold)
     if large is not None:
         star = large.where((F.col("_id") != F.col("lead._id")) & _possible(F.col("total"), F.col("common"), F.col("lead.total"), F.col("lead.common"), threshold))
         pairs = pairs.union(star.select(F.least("lead._id", "_id").alias("a"), F.greatest("lead._id", "_id").alias("b")))
-    tested = materialize(verify(materialize(pairs.distinct(), "pairs"), sets, weights), "tested")
+    tested = materialize(verify(materialize(pairs.distinct(), "pairs"), sets), "tested")
     links = tested.where(F.col("sim") >= threshold).select("a", "b")
     label = components(sig, links)
 
     more = None if large is None else materialize(_open_pairs(large, label, tested, threshold), "more-pairs")
     if more is not None and more.limit(1).count():
-        again = verify(more, sets, weights).where(F.col("sim") >= threshold).select("a", "b")
+        again = verify(more, sets).where(F.col("sim") >= threshold).select("a", "b")
         links = materialize(links.union(again), "links")
         label = components(sig, links)
 

@@ -211,6 +211,23 @@ def test_near_duplicates(spark):
     assert weighted_dedup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_by_exact_frequencies(spark):
+    import math
+    from collections import Counter
+
+    left, right, own = words(100, 1, 10**9), words(100, 2, 10**9), words(183, 3, 10**9)
+    texts = [f"{own} {left}", f"{own} {right}"] + [f"{words(600, 10 + i, 10**9)} {left if i % 2 else right}" for i in range(1000)]
+    d, h, _ = weighted_dedup.shingles(texts)
+    df = Counter(h.tolist())
+    a, b = set(h[d == 0].tolist()), set(h[d == 1].tolist())
+    ratio = lambda w: sum(map(w, a & b)) / sum(map(w, a | b))
+    exact = ratio(lambda x: math.log1p(len(texts) / df[x]))
+    table = weighted_dedup.idf(*weighted_dedup.df_table(docs(spark, texts)))
+    assert ratio(lambda x: float(table[x >> (64 - weighted_dedup.DF_BITS)])) < weighted_dedup.THRESHOLD <= exact, exact
+    got = {r["doc_id"]: r["class_id"] for r in weighted_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got[0] == got[1] == 0 and all(got[i] == i for i in range(2, len(texts)))
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(1, 2**63, 300, dtype=np.uint64))
