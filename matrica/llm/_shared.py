@@ -3,7 +3,9 @@ lineage, and the tables of a directory."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a temporary folder is
-    made and remembered in the session's settings.
+    Only a session on one machine (a local master, as in tests) may be without
+    it: a temporary folder is made then, remembered in the session's settings
+    and removed at the end of the process.  Elsewhere its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("matrica.shared.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="matrica-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="matrica-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        path = "file://" + made
         spark.conf.set("matrica.shared.dir", path)
     return path.rstrip("/")
 
@@ -34,7 +41,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._matrica = (path, None)
+    return out
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``materialize``, bucketed by ``key``: joins on it leave the rows where they are.
+
+    As many buckets as the input has partitions, within Spark's own bound of 100,000.
+    """
+    spark = df.sparkSession
+    path, name = fresh_path(spark, name), f"matrica_{uuid.uuid4().hex}"
+    n = min(100_000, max(2 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._matrica = (path, name)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` or ``bucketed`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark, (path, name) = df.sparkSession, df._matrica
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

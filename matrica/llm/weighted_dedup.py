@@ -6,17 +6,19 @@ two documents draw the same one with probability equal to their weighted
 Jaccard similarity; samples are banded, documents meeting in a band are
 candidates, and every candidate is verified on the whole weighted sets.
 
-Document frequencies are counted over all documents.  For the samples they go
-into a table of fixed width by shingle hash, so what is broadcast does not grow
-with the corpus.  For the candidates' sets, on which every verdict and bound is
-taken, they are exact: counts by shingle hash, added per partition, are
-shuffled by hash range and looked up there.  They are divided by the number of
-documents, so the weights mean the same at every size.
+Texts are read once.  Each few megabytes of them become a pack: distinct
+shingle hashes and their counts, document after document.  Document frequencies
+are exact and over all documents: every pack asks, per hash range, for the
+frequencies of its hashes and says how many of its documents have each; ranges
+are added up in tasks of their own, and the answers, mostly ones, go back.
+Packs are a table bucketed by pack, so only the answers move.  Frequencies are
+divided by the number of documents, so weights mean the same at every size;
+samples, verdicts and bounds all use these weights.
 
 Groups: exact copies are folded first and only one of them is sampled.  A
 small bucket of a band gives all pairs.  For the members of larger buckets the
-weight is taken that they share with any other such member, from a table of
-fixed width: what a document has for itself can be in no union's shared part,
+weight is taken that they share with any other such member, counted exactly in
+the same way: what a document has for itself can be in no union's shared part,
 so it bounds the similarity of every pair it is in, and documents with too
 little shared weight leave.  The others are compared with the bucket's leader,
 the member that shares most.  Links join documents into classes; then each
@@ -27,9 +29,14 @@ no pair that meets in a band and can be similar is left out, and a bucket of
 one class, however large, costs its size.
 
 Words are runs of ASCII letters, digits and all non-ASCII characters,
-lower-cased.  Defined cases: a null text is alone; texts without words are
-alike only if they are equal; texts under five words are one shingle; equal
-texts are one class; an empty table gives no rows; extra columns are ignored.
+lower-cased.  Defined cases: a null text is alike only to rows of the same id
+and null text; texts without words are alike only if they are equal; texts
+under five words are one shingle; equal texts are one class.  Ids may be of
+any type that sorts, null or repeated: rows are told apart by their place in
+the packs, rows of one id and different texts are grouped each by its text,
+and of rows equal in id and text one is kept.  ``class_id`` is the least id of
+the class that is not null.  An empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,20 +48,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.llm._shared import materialize
+from matrica.llm._shared import bucketed, discard, materialize
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
 BANDS, ROWS = 14, 4
-#: Slots of the document-frequency table (2**18 counts of 8 bytes are 2 MB, whatever the corpus).
-DF_BITS = 18
-#: Slots of the table of shingles that two members of large buckets have (2**22 bytes); where it is too full, more pairs are compared, none is lost.
-SHARED_BITS = 22
 #: Buckets up to this size give all pairs.
 SMALL = 12
 _STEP = 3 << 20
-#: Shingles to a group of the exact count, and those a task holds before it sends their counts.
-GROUP, HELD = 1 << 20, 1 << 21
+#: Shingles to a range of the exact count, and documents to a pack at most.
+GROUP, PACKED = 1 << 20, 1 << 16
 
 _U = np.uint64
 _MIXED = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -130,105 +133,15 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     k = 0
     while k < len(texts):
         j, size = k, 0
-        while j < len(texts) and (size < _STEP or j == k):
+        while j < len(texts) and ((size < _STEP and j - k < PACKED) or j == k):
             size += len(texts[j])
             j += 1
         yield ids[k:j], texts[k:j]
         k = j
 
 
-def _slots(h: np.ndarray, bits: int = DF_BITS) -> np.ndarray:
-    return (h >> _U(64 - bits)).astype(np.int64)
-
-
-PARTS = 64
-
-
-def _cut(total: np.ndarray, n: int) -> pa.RecordBatch:
-    cut = total.reshape(PARTS, -1)
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "n", "counts"])
-
-
-def _added(pieces: DataFrame, kind: type, most: int | None = None) -> tuple[np.ndarray, int]:
-    """The sum of all partitions' tables (up to ``most``) and of their row counts.
-
-    Tables of one fixed size come in pieces and are added by slot range; what
-    reaches the driver has the table's size.
-    """
-
-    def add(table):
-        n, total = sum(table.column("n").to_pylist()), 0
-        for c in table.column("counts"):
-            total = total + np.frombuffer(c.as_buffer(), kind).astype(np.int64)
-        total = (total if most is None else np.minimum(total, most)).astype(kind)
-        return pa.table({"part": table.column("part")[:1], "lot": table.column("lot")[:1], "n": pa.array([n], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "part int, lot int, n bigint, counts binary"
-    # Lots of 256 partitions are added first, so no group holds a table of every partition.
-    each = pieces.select("part", F.floor(F.spark_partition_id() / 256).cast("int").alias("lot"), "n", "counts")
-    lots = each.groupBy("part", "lot").applyInArrow(add, shape)
-    rows = lots.groupBy("part").applyInArrow(add, shape).collect()
-    if not rows:
-        return np.empty(0, kind), 0
-    rows.sort(key=lambda r: r["part"])
-    return np.concatenate([np.frombuffer(r["counts"], kind) for r in rows]), rows[0]["n"]
-
-
-def df_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Document counts by slot and the number of documents, over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            n += len(texts)
-            for _, part in _chunks(texts, texts):
-                d, h, _ = shingles(part)
-                key = np.unique(d << DF_BITS | _slots(h))
-                total += np.bincount(key & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-        if n:
-            yield _cut(total, n)
-
-    df, n = _added(docs.select(text_col).mapInArrow(count, "part int, n bigint, counts binary"), np.int64)
-    return (df if n else np.zeros(1 << DF_BITS, np.int64)), n
-
-
-def shared_slots(sets: DataFrame) -> np.ndarray:
-    """Which slots two or more of the documents have, as a table of truth values."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << SHARED_BITS, np.uint8), 0
-        for b in batches:
-            n += b.num_rows
-            for blob in b.column(0).to_pylist():
-                at = np.unique(_slots(np.frombuffer(blob, np.uint64, len(blob) // 12), SHARED_BITS))
-                total[at] = np.minimum(total[at] + 1, 2)
-        if n:
-            yield _cut(total, n)
-
-    seen, n = _added(sets.select("set").mapInArrow(count, "part int, n bigint, counts binary"), np.uint8, 2)
-    return seen >= 2 if n else np.zeros(1 << SHARED_BITS, bool)
-
-
-def masses(sets: DataFrame, shared: np.ndarray) -> DataFrame:
-    """``(_id, total, common)``: the weight of a document and of what it shares."""
-    spark = sets.sparkSession
-    held = spark.sparkContext.broadcast(shared)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            total, common = [], []
-            for blob in b.column(1).to_pylist():
-                h, w = _unpack(blob)
-                total.append(float(w.sum()))
-                common.append(float(w[held.value[_slots(h, SHARED_BITS)]].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
-
-    return sets.select("_id", "set").mapInArrow(run, "_id bigint, total double, common double")
-
-
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n/df) by slot, as 32-bit floats."""
+    """ln(1 + n/df), as 32-bit floats."""
     return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
 
 
@@ -272,30 +185,6 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(id, bands array<bigint>)``; texts without words are left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table = Sampler(bands * rows), sent.value
-        for b in batches:
-            for ids, texts in _chunks(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
-                d, h, tf = shingles(texts)
-                if not len(h):
-                    continue
-                w = tf.astype(np.float32) * table[_slots(h)]
-                begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                codes = sampler.sample(h, np.log(w), begin).reshape(len(begin), bands, rows)
-                with np.errstate(over="ignore"):
-                    key = np.zeros((len(begin), bands), np.uint64)
-                    for k in range(rows):
-                        key = _mix(key * _TURN[1] + codes[:, :, k])
-                ends = pa.array(np.arange(0, len(begin) * bands + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in d[begin]], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["_id", "bands"])
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "_id bigint, bands array<bigint>")
-
-
 def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
     """``(group, places)`` of the groups that some of the hashes are in, ascending."""
     group = ((h >> _U(20)) % _U(groups)).astype(np.int32)
@@ -306,87 +195,165 @@ def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 _ASKED = "group int, chunk bigint, h binary, n binary"
+_PACK = "sizes array<int>, h binary, w binary"
 
 
 def _asked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["group", "chunk", "h", "n"])
 
 
-def shingle_counts(docs: DataFrame, text_col: str, groups: int) -> DataFrame:
-    """Hashes and document counts by group, added up for ``HELD`` shingles at a time."""
+def _packed(lists: list, sizes, h: np.ndarray, w: np.ndarray, kinds: list) -> pa.RecordBatch:
+    """One pack as a batch: lists per document, shingles per document, all hashes, all 32-bit counts or weights."""
+    cols = [pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds)]
+    names = [f"l{k}" for k in range(len(lists))] + ["sizes", "h", "w"]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def added() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return _asked([(g, -1, h[at].tobytes(), n[at].astype(np.int64).tobytes()) for g, at in _by_group(h, groups)])
+def text_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Packs of whole texts: ``(chunk, ids, md5s, sizes, h, w)``, ``w`` the counts; bucketed by ``chunk``."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for _, part in _chunks(texts, texts):
-                held.append(shingles(part)[1])
-                size += len(held[-1])
-                if size >= HELD:
-                    yield added()
-                    held, size = [], 0
-        if size:
-            yield added()
+            kinds = [b.column(0).type, pa.string()]
+            rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+            for part, texts in _chunks(rows, [t or "" for t in b.column(1).to_pylist()]):
+                d, h, tf = shingles(texts)
+                yield _packed([[x for x, _ in part], [m for _, m in part]], np.bincount(d, minlength=len(texts)), h, tf.astype(np.int32), kinds)
 
-    return docs.select(text_col).mapInArrow(run, _ASKED)
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_md5"))
+    packs = src.mapInArrow(pack, f"l0 array<{src.schema['_id'].dataType.simpleString()}>, l1 array<string>, {_PACK}")
+    # Partition and place in it, so that a document's place in its pack fits below them.
+    chunk = F.monotonically_increasing_id()
+    return bucketed(packs.withColumn("chunk", F.shiftleft(F.shiftright(chunk, 33), 20) + chunk.bitwiseAND(F.lit((1 << 33) - 1))), "chunk", "packs")
 
 
-def weighted_sets(docs: DataFrame, every: DataFrame, df: np.ndarray, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, set binary)`` of ``docs``: sorted shingle hashes, then their weights by the exact frequencies among the ``n`` documents of ``every``."""
-    groups = max(256, int(df.sum()) // GROUP + 1)
+def set_packs(sets: DataFrame) -> DataFrame:
+    """Packs of weighted sets ``(_id, set)``, ``w`` the weights."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _chunks(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]):
-                d, h, tf = shingles(texts)
-                size = np.bincount(d, minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["ids", "sizes", "h", "tf"])
+            ids, blobs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            k = 0
+            while k < len(ids):
+                j, size = k, 0
+                while j < len(ids) and size < (_STEP << 1) and j - k < PACKED:
+                    size += len(blobs[j])
+                    j += 1
+                got = [_unpack(x) for x in blobs[k:j]]
+                yield _packed([ids[k:j]], [len(h) for h, _ in got], np.concatenate([h for h, _ in got]), np.concatenate([w for _, w in got]).astype(np.float32), [pa.int64()])
+                k = j
+
+    packs = sets.select("_id", "set").mapInArrow(pack, f"l0 array<bigint>, {_PACK}")
+    return bucketed(packs.withColumn("chunk", F.monotonically_increasing_id()), "chunk", "set-packs")
+
+
+def answers(packs: DataFrame) -> DataFrame:
+    """``(chunk, got)``: in how many documents of all packs each of a pack's distinct hashes is, by hash range."""
+    total = packs.agg(F.sum(F.octet_length("h"))).first()[0] or 0
+    groups = max(256, total // 8 // GROUP + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.unique(np.frombuffer(blob, np.uint64))
+                h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
                 if len(h):
-                    yield _asked([(g, chunk, h[at].tobytes(), b"") for g, at in _by_group(h, groups)])
+                    yield _asked([(g, chunk, h[at].tobytes(), n[at].astype(np.int64).tobytes()) for g, at in _by_group(h, groups)])
 
     def answer(table: pa.Table) -> pa.Table:
-        chunk, hs, ns = (table.column(c).to_pylist() for c in ("chunk", "h", "n"))
-        told = [k for k, c in enumerate(chunk) if c < 0]
-        asked = [k for k, c in enumerate(chunk) if c >= 0]
-        h, total = np.frombuffer(b"".join([hs[k] for k in told]), np.uint64), np.frombuffer(b"".join([ns[k] for k in told]), np.int64)
-        if len(h):
-            order = np.argsort(h, kind="stable")
-            h, total = h[order], total[order]
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, total = h[at], np.add.reduceat(total, at)
-        counts = [total[np.searchsorted(h, np.frombuffer(hs[k], np.uint64))].tobytes() for k in asked]
-        group = table.column("group")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk[k] for k in asked], pa.int64()), "group": pa.array([group] * len(asked), pa.int32()), "n": pa.array(counts, pa.binary())})
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, sizes, blob, tfs, got in zip(*(b.column(k).to_pylist() for k in range(5))):
-                h = np.frombuffer(blob, np.uint64)
-                own, back = np.unique(h, return_inverse=True)
-                count = np.zeros(len(own), np.int64)
-                for (_, at), part in zip(_by_group(own, groups), sorted(got or [], key=lambda g: g["group"]), strict=True):
-                    count[at] = np.frombuffer(part["n"], np.int64)
-                w = np.frombuffer(tfs, np.int32) * idf(count, n)[back]
-                ends = np.cumsum([0, *sizes])
-                sets = [h[x:y].tobytes() + w[x:y].astype(np.float32).tobytes() for x, y in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["_id", "set"])
-
-    packs = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pack, "ids array<bigint>, sizes array<int>, h binary, tf binary")
-    packs = materialize(packs.withColumn("chunk", F.monotonically_increasing_id()), "packs")
+        hs, ns = (b"".join(table.column(c).to_pylist()) for c in ("h", "n"))
+        own, back = np.unique(np.frombuffer(hs, np.uint64), return_inverse=True)
+        count = np.zeros(len(own), np.int64)
+        np.add.at(count, back, np.frombuffer(ns, np.int64))
+        told = count[back]
+        ends = np.cumsum([0, *(len(x) // 8 for x in table.column("h").to_pylist())])
+        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "n": pa.array([told[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())})
+
     asks = packs.select("chunk", "h").mapInArrow(ask, _ASKED)
-    answers = shingle_counts(every, text_col, groups).union(asks).groupBy("group").applyInArrow(answer, "chunk bigint, group int, n binary")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("group", "n")).alias("got"))
-    return packs.join(answers, "chunk", "left").select("ids", "sizes", "h", "tf", "got").mapInArrow(weigh, "_id bigint, set binary")
+    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, n binary")
+    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "n")).alias("got"))
+    return materialize(got.withColumn("groups", F.lit(groups)), "answers")
+
+
+def _told(h: np.ndarray, got: list | None, groups: int) -> np.ndarray:
+    """The answers' counts for each of a pack's hashes."""
+    own, back = np.unique(h, return_inverse=True)
+    count = np.zeros(len(own), np.int64)
+    for (_, at), part in zip(_by_group(own, groups), sorted(got or [], key=lambda g: g["group"]), strict=True):
+        count[at] = np.frombuffer(part["n"], np.int64)
+    return count[back]
+
+
+def _wanted(packs: DataFrame, told: DataFrame, want: DataFrame) -> DataFrame:
+    """``(chunk, at, sizes, h, w, got, groups)`` of the packs with documents in ``want (chunk, at)``; packs stay where they are."""
+    at = want.groupBy("chunk").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    small = at.join(told, "chunk", "left")
+    return packs.select("chunk", "sizes", "h", "w").join(small.hint("shuffle_hash"), "chunk").select("chunk", "at", "sizes", "h", "w", "got", "groups")
+
+
+def _weighed(b: pa.RecordBatch, n: int) -> Iterator[tuple]:
+    """Per pack: the first node id, places asked for, hashes, counts' weights by exact frequencies, and ends of all documents."""
+    for chunk, at, sizes, blob, tfs, got, groups in zip(*(b.column(k).to_pylist() for k in range(7))):
+        h = np.frombuffer(blob, np.uint64)
+        w = np.frombuffer(tfs, np.int32) * idf(_told(h, got, groups or 1), n)
+        yield chunk << 16, at, h, w.astype(np.float32), np.cumsum([0, *sizes])
+
+
+def signatures(packs: DataFrame, told: DataFrame, want: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(_id, bands array<bigint>)`` of the wanted documents; texts without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(bands * rows)
+        for b in batches:
+            for base, at, h, w, ends in _weighed(b, n):
+                at = np.array([k for k in at if ends[k] < ends[k + 1]], np.int64)
+                if not len(at):
+                    continue
+                size = ends[at + 1] - ends[at]
+                begin = np.cumsum(size) - size
+                if len(at) < len(ends) - 1:
+                    inside = np.repeat(ends[at] - begin, size) + np.arange(size.sum())
+                    h, w = h[inside], w[inside]
+                codes = sampler.sample(h, np.log(w), begin).reshape(len(begin), bands, rows)
+                with np.errstate(over="ignore"):
+                    key = np.zeros((len(begin), bands), np.uint64)
+                    for k in range(rows):
+                        key = _mix(key * _TURN[1] + codes[:, :, k])
+                to = pa.array(np.arange(0, len(begin) * bands + 1, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(base + at, pa.int64()), pa.ListArray.from_arrays(to, pa.array(key.view(np.int64).ravel()))], ["_id", "bands"])
+
+    return _wanted(packs, told, want).mapInArrow(run, "_id bigint, bands array<bigint>")
+
+
+def weighted_sets(packs: DataFrame, told: DataFrame, want: DataFrame, n: int) -> DataFrame:
+    """``(_id, set binary)`` of the wanted documents: sorted shingle hashes, then their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, at, h, w, ends in _weighed(b, n):
+                sets = [h[ends[k] : ends[k + 1]].tobytes() + w[ends[k] : ends[k + 1]].tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([base + k for k in at], pa.int64()), pa.array(sets, pa.binary())], ["_id", "set"])
+
+    return _wanted(packs, told, want).mapInArrow(run, "_id bigint, set binary")
+
+
+def masses(sets: DataFrame) -> DataFrame:
+    """``(_id, total, common)``: the weight of each set, and of the part that any other set has too."""
+    packs = set_packs(sets)
+    told = answers(packs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, sizes, blob, ws, got, groups in zip(*(b.column(k).to_pylist() for k in range(6))):
+                w = np.frombuffer(ws, np.float32).astype(np.float64)
+                more = _told(np.frombuffer(blob, np.uint64), got, groups or 1) > 1
+                doc = np.repeat(np.arange(len(ids)), sizes)
+                total, common = (np.bincount(doc, x, len(ids)) for x in (w, w * more))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
+
+    both = packs.join(told.hint("shuffle_hash"), "chunk", "left").select("l0", "sizes", "h", "w", "got", "groups")
+    out = materialize(both.mapInArrow(run, "_id bigint, total double, common double"), "weights")
+    discard(packs, told)
+    return out
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -450,7 +417,7 @@ def _large_buckets(members: DataFrame, sets: DataFrame, sig: DataFrame, threshol
     own = materialize(sets.join(ids, "_id", "left_semi"), "large-sets")
     if not own.limit(1).count():
         return None
-    mass = masses(own, shared_slots(own)).where(F.col("common") >= threshold * F.col("total") - 1e-6 * F.col("total"))
+    mass = masses(own).where(F.col("common") >= threshold * F.col("total") - 1e-6 * F.col("total"))
     mass = materialize(mass.join(sig, "_id"), "masses")
     kept = members.select("_id", "band", "code").join(mass, "_id")
     # The leader shares most of its weight; ties go by the id's hash.
@@ -482,21 +449,24 @@ def _open_pairs(large: DataFrame, label: DataFrame, tested: DataFrame, threshold
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """``(id, class_id, keep)``: class_id is the least id of the document's group, keep marks one row of each group."""
-    key = F.md5(F.col(text_col))
-    ids = materialize(docs.select(F.col(id_col).cast("long").alias("_id"), key.alias("_md5")), "text-keys")
-    first = materialize(ids.where("_md5 is not null").groupBy("_md5").agg(F.min("_id").alias("_rep")), "first-copies")
-    df, n = df_table(docs, text_col)
-    weights = idf(df, n)
-    distinct = docs.join(first.select("_rep"), docs[id_col] == first["_rep"], "left_semi").dropDuplicates([id_col]) if _repeats(ids) else docs.join(first.select("_rep"), docs[id_col] == first["_rep"], "left_semi")
-    sig = materialize(signatures(distinct, weights, id_col, text_col, bands, rows), "signatures")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
+    """``(_id, _md5, class_id, keep)`` for every row."""
+    packs = text_packs(docs, id_col, text_col)
+    flat = packs.select("chunk", F.posexplode(F.arrays_zip("l0", "l1")).alias("at", "x"))
+    keys = materialize(flat.select("chunk", "at", (F.shiftleft("chunk", 16) + F.col("at")).alias("_row"), F.col("x.l0").alias("_id"), F.col("x.l1").alias("_md5")), "text-keys")
+    n = keys.count()
+    least = F.struct(F.col("_id").isNull().alias("z"), "_id", "_row", "chunk", "at")
+    first = keys.where("_md5 is not null").groupBy("_md5").agg(F.min(least).alias("f"))
+    first = materialize(first.select("_md5", F.col("f._row").alias("_node"), F.col("f._id").alias("_rep"), "f.chunk", "f.at"), "first-copies")
+    told = answers(packs)
+    sig = materialize(signatures(packs, told, first.select("chunk", "at"), n, bands, rows), "signatures")
 
     member = sig.select("_id", F.posexplode("bands").alias("band", "code"))
     sizes = member.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     full = materialize(member.join(sizes, ["band", "code"]), "buckets")
-    wanted = full.select(F.col("_id").alias("_w")).distinct()
-    sets = materialize(weighted_sets(distinct.join(wanted, distinct[id_col] == wanted["_w"], "left_semi"), docs, df, n, id_col, text_col), "sets")
+    wanted = full.select(F.shiftright("_id", 16).alias("chunk"), F.col("_id").bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("at")).distinct()
+    sets = materialize(weighted_sets(packs, told, wanted, n), "sets")
+    discard(packs, told)
 
     listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
     pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
@@ -515,18 +485,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialize(links.union(again), "links")
         label = components(sig, links)
 
-    rep = first.join(label.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_md5", F.coalesce("class", "_rep").alias("class_id"))
-    out = ids.join(rep, "_md5", "left").select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"))
-    return out.withColumn("keep", F.col(id_col) == F.col("class_id"))
+    node = first.join(label.withColumnRenamed("_id", "_node"), "_node", "left").select("_md5", "_rep", F.coalesce("class", "_node").alias("_class"))
+    node = materialize(node, "classes")
+    least = node.groupBy("_class").agg(F.min("_rep").alias("class_id"))
+    by_text = node.join(least, "_class").select("_md5", "_class", "class_id")
+    rows = keys.join(by_text, "_md5", "left")
+    # A null text is its own class, together with rows of the same id and null text.
+    rows = rows.select("_id", "_md5", "_row", F.when(F.col("_md5").isNull(), F.struct(F.lit(-1).cast("long").alias("c"), F.col("_id").alias("i"))).otherwise(F.struct(F.col("_class").alias("c"), F.lit(None).cast(keys.schema["_id"].dataType).alias("i"))).alias("_class"), F.when(F.col("_md5").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
+    rows = materialize(rows, "rows")
+    kept = rows.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row"))["_row"].alias("_kept"))
+    return rows.join(kept.select("_kept"), rows["_row"] == kept["_kept"], "left").select("_id", "_md5", "class_id", F.col("_kept").isNotNull().alias("keep"))
 
 
-def _repeats(ids: DataFrame) -> bool:
-    """Whether some id stands for several rows (of a table whose ids should be unique)."""
-    got = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("d"), F.sum(F.col("_id").isNull().cast("int")).alias("z")).first()
-    return got["n"] - (got["z"] or 0) != got["d"]
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """``(id, class_id, keep)``: class_id is the least id of the document's group, keep marks one row of each group."""
+    return _grouped(docs, id_col, text_col, threshold, bands, rows, small).select(F.col("_id").alias(id_col), "class_id", "keep")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each group, with its own columns."""
-    keep = near_duplicates(docs, id_col, text_col, **kw).where("keep").select(F.col(id_col).alias("_keep"))
-    return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """One document of each group, with its own columns.
+
+    Rows are found again by id and text; of rows equal in both, one stays.
+    """
+    keep = materialize(_grouped(docs, id_col, text_col, threshold, bands, rows, small).groupBy("_id", "_md5").agg(F.max("keep").alias("k"), F.count(F.lit(1)).alias("m")).where("k").select("_id", "_md5", "m"), "kept")
+    key = lambda i, m: F.md5(F.concat_ws("|", i.isNull().cast("string"), i.cast("string"), m))
+    once = keep.where("m = 1").select(key(F.col("_id"), F.col("_md5")).alias("_kept"))
+    mine = key(docs[id_col], F.md5(docs[text_col]))
+    out = docs.join(once, mine == once["_kept"], "left_semi")
+    if keep.where("m > 1").limit(1).count():
+        more = keep.where("m > 1").select(key(F.col("_id"), F.col("_md5")).alias("_kept"))
+        twins = docs.withColumn("_key", mine).join(more, F.col("_key") == more["_kept"], "left_semi")
+        out = out.union(twins.dropDuplicates(["_key"]).drop("_key"))
+    return out

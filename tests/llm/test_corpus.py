@@ -221,13 +221,63 @@ def test_near_duplicates_by_exact_frequencies(spark):
     df = Counter(h.tolist())
     a, b = set(h[d == 0].tolist()), set(h[d == 1].tolist())
     ratio = lambda w: sum(map(w, a & b)) / sum(map(w, a | b))
-    exact = ratio(lambda x: math.log1p(len(texts) / df[x]))
-    table = weighted_dedup.idf(*weighted_dedup.df_table(docs(spark, texts)))
-    assert ratio(lambda x: float(table[x >> (64 - weighted_dedup.DF_BITS)])) < weighted_dedup.THRESHOLD <= exact, exact
+    assert ratio(lambda x: 1.0) < weighted_dedup.THRESHOLD <= ratio(lambda x: math.log1p(len(texts) / df[x]))
     got = {r["doc_id"]: r["class_id"] for r in weighted_dedup.near_duplicates(docs(spark, texts)).collect()}
     assert got[0] == got[1] == 0 and all(got[i] == i for i in range(2, len(texts)))
 
 
+def test_near_duplicates_equal_all_pairs(spark):
+    """Every pair at 0.8 or more by exact TF-IDF, near copies and large groups included, against all pairs."""
+    import itertools
+    import math
+    import re
+    from collections import Counter
+
+    r = random.Random(6)
+    texts = []
+    for g in range(40):
+        base = words(r.randrange(8, 400), 1000 + g, 3000).split()
+        for _ in range(r.choice([1, 2, 3, 25])):
+            w = list(base)
+            for _ in range(r.randrange(0, max(2, len(w) // 20))):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += texts[:30] + ["x " * n for n in (1, 4, 5, 9, 300)] + [None, "", "!!", "É é"]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(k for x in sets for k in x)
+    idf = {k: math.log1p(len(texts) / c) for k, c in df.items()}
+    sim = lambda x, y: sum(min(x[k], y[k]) * idf[k] for k in x.keys() & y.keys()) / sum(max(x[k], y[k]) * idf[k] for k in x.keys() | y.keys())
+    up = list(range(len(texts)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (texts[i] is not None and texts[i] == texts[j]) or (sets[i] and sets[j] and sim(sets[i], sets[j]) >= 0.8)]
+    for i, j in links:
+        up[max(find(i), find(j))] = min(find(i), find(j))
+    got = {x["doc_id"]: x["class_id"] for x in weighted_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) and len(links) > 400
+    assert sum(got[i] == find(i) for i in got) >= 0.99 * len(texts) and all(find(i) == find(got[i]) for i in got)
+
+
+def test_near_duplicates_repeated_and_null_ids(spark):
+    a, b = words(60, 1, 10**6), words(60, 2, 10**6)
+    rows = [("1", a), ("1", a), ("1", b), ("2", b), (None, a), (None, words(60, 3, 10**6)), (None, None), ("3", None), ("3", None), ("4", None)]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id string, text string, _md5 int")
+    got = sorted((r["doc_id"] or "", r["class_id"] or "", r["keep"]) for r in weighted_dedup.near_duplicates(d).collect())
+    assert got == sorted([("1", "1", True), ("1", "1", False), ("1", "1", True), ("2", "1", False), ("", "1", False), ("", "", True), ("", "", True), ("3", "3", True), ("3", "3", False), ("4", "4", True)])
+    kept = weighted_dedup.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"] or "", r["text"] or "") for r in kept.collect()) == sorted([("1", a), ("1", b), ("", words(60, 3, 10**6)), ("", ""), ("3", ""), ("4", "")])
+
+
+def test_bounds_of_large_buckets_lose_nothing(spark):
+    base = words(200, 5, 10**6).split()
+    texts = [" ".join(f"z{k}" if i in (k % 190, (7 * k) % 190) else x for i, x in enumerate(base)) for k in range(120)]
+    classes = lambda small: sorted((r["doc_id"], r["class_id"]) for r in weighted_dedup.near_duplicates(docs(spark, texts), small=small).collect())
+    assert classes(2) == classes(12) == classes(200)
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(1, 2**63, 300, dtype=np.uint64))
