@@ -4,9 +4,11 @@ lineage, and the tables of a directory."""
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``materialize``, bucketed by ``key``: joins on it leave the rows where they are.
+    """As ``materialize``, bucketed by ``key``: joins on it, with sides dealt to ``_buckets`` parts, leave the rows where they are.
 
     As many buckets as the input has partitions, within Spark's own bound of 100,000.
     """
@@ -56,7 +58,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     n = min(100_000, max(2 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
     df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
-    out._matrica = (path, name)
+    out._matrica, out._buckets = (path, name), n
     return out
 
 
@@ -70,6 +72,17 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffles that nothing refers to any more go now, not at the cleaner's next turn.
+
+    Handles that Python has dropped are passed on to the JVM within a second.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1)
+        spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -48,14 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.llm._shared import bucketed, discard, materialize
+from matrica.llm._shared import bucketed, discard, materialize, release
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
 BANDS, ROWS = 14, 4
 #: Buckets up to this size give all pairs.
 SMALL = 12
-_STEP = 3 << 20
+_STEP = 1 << 20
 #: Shingles to a range of the exact count, and documents to a pack at most.
 GROUP, PACKED = 1 << 20, 1 << 16
 
@@ -185,13 +185,21 @@ class Sampler:
         return out
 
 
-def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    """``(group, places)`` of the groups that some of the hashes are in, ascending."""
-    group = ((h >> _U(20)) % _U(groups)).astype(np.int32)
-    order = np.argsort(group, kind="stable")
-    at = np.flatnonzero(np.diff(group[order], prepend=-1))
+def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, slice]]:
+    """``(group, place)`` of the hash ranges that some of the sorted hashes are in, ascending."""
+    group = ((h >> _U(32)) * _U(groups) >> _U(32)).astype(np.int32)
+    at = np.flatnonzero(np.diff(group, prepend=-1))
     for x, y in zip(at, [*at[1:], len(h)]):
-        yield int(group[order[x]]), order[x:y]
+        yield int(group[x]), slice(x, y)
+
+
+def _code(h: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their differences, plane by plane: the high planes are mostly zero and compress."""
+    return np.diff(h, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _decode(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 _ASKED = "group int, chunk bigint, h binary, n binary"
@@ -209,6 +217,11 @@ def _packed(lists: list, sizes, h: np.ndarray, w: np.ndarray, kinds: list) -> pa
     return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names)
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch of packs, one copied at a time."""
+    return (tuple(c[k].as_py() for c in b.columns) for k in range(b.num_rows))
+
+
 def text_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Packs of whole texts: ``(chunk, ids, md5s, sizes, h, w)``, ``w`` the counts; bucketed by ``chunk``."""
 
@@ -248,51 +261,53 @@ def set_packs(sets: DataFrame) -> DataFrame:
 
 
 def answers(packs: DataFrame) -> DataFrame:
-    """``(chunk, got)``: in how many documents of all packs each of a pack's distinct hashes is, by hash range."""
+    """``(chunk, got)``: in how many documents of all packs each of a pack's distinct hashes is, by hash range; what is in one only is left out."""
     total = packs.agg(F.sum(F.octet_length("h"))).first()[0] or 0
-    groups = max(256, total // 8 // GROUP + 1)
+    groups = max(32, total // 8 // GROUP + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for chunk, blob in _rows(b):
                 h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
                 if len(h):
-                    yield _asked([(g, chunk, h[at].tobytes(), n[at].astype(np.int64).tobytes()) for g, at in _by_group(h, groups)])
+                    yield _asked([(g, chunk, _code(h[at]), n[at].astype(np.int32).tobytes()) for g, at in _by_group(h, groups)])
 
     def answer(table: pa.Table) -> pa.Table:
-        hs, ns = (b"".join(table.column(c).to_pylist()) for c in ("h", "n"))
-        own, back = np.unique(np.frombuffer(hs, np.uint64), return_inverse=True)
+        hs, ns = [_decode(x) for x in table.column("h").to_pylist()], b"".join(table.column("n").to_pylist())
+        own, back = np.unique(np.concatenate(hs), return_inverse=True)
         count = np.zeros(len(own), np.int64)
-        np.add.at(count, back, np.frombuffer(ns, np.int64))
+        np.add.at(count, back, np.frombuffer(ns, np.int32))
         told = count[back]
-        ends = np.cumsum([0, *(len(x) // 8 for x in table.column("h").to_pylist())])
-        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "n": pa.array([told[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())})
+        ends = np.cumsum([0, *map(len, hs)])
+        each = [(np.flatnonzero(told[x:y] > 1).astype(np.int32), told[x:y]) for x, y in zip(ends, ends[1:])]
+        found = [pa.array([f(at, n).tobytes() for at, n in each], pa.binary()) for f in (lambda at, n: at, lambda at, n: n[at])]
+        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "at": found[0], "n": found[1]})
 
     asks = packs.select("chunk", "h").mapInArrow(ask, _ASKED)
-    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, n binary")
-    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "n")).alias("got"))
+    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, at binary, n binary")
+    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "at", "n")).alias("got"))
     return materialize(got.withColumn("groups", F.lit(groups)), "answers")
 
 
 def _told(h: np.ndarray, got: list | None, groups: int) -> np.ndarray:
     """The answers' counts for each of a pack's hashes."""
     own, back = np.unique(h, return_inverse=True)
-    count = np.zeros(len(own), np.int64)
+    count = np.ones(len(own), np.int64)
     for (_, at), part in zip(_by_group(own, groups), sorted(got or [], key=lambda g: g["group"]), strict=True):
-        count[at] = np.frombuffer(part["n"], np.int64)
+        count[at.start + np.frombuffer(part["at"], np.int32)] = np.frombuffer(part["n"], np.int64)
     return count[back]
 
 
 def _wanted(packs: DataFrame, told: DataFrame, want: DataFrame) -> DataFrame:
     """``(chunk, at, sizes, h, w, got, groups)`` of the packs with documents in ``want (chunk, at)``; packs stay where they are."""
     at = want.groupBy("chunk").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    small = at.join(told, "chunk", "left")
+    small = at.join(told.hint("shuffle_hash"), "chunk", "left").repartition(packs._buckets, "chunk")
     return packs.select("chunk", "sizes", "h", "w").join(small.hint("shuffle_hash"), "chunk").select("chunk", "at", "sizes", "h", "w", "got", "groups")
 
 
 def _weighed(b: pa.RecordBatch, n: int) -> Iterator[tuple]:
     """Per pack: the first node id, places asked for, hashes, counts' weights by exact frequencies, and ends of all documents."""
-    for chunk, at, sizes, blob, tfs, got, groups in zip(*(b.column(k).to_pylist() for k in range(7))):
+    for chunk, at, sizes, blob, tfs, got, groups in _rows(b):
         h = np.frombuffer(blob, np.uint64)
         w = np.frombuffer(tfs, np.int32) * idf(_told(h, got, groups or 1), n)
         yield chunk << 16, at, h, w.astype(np.float32), np.cumsum([0, *sizes])
@@ -343,14 +358,14 @@ def masses(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, sizes, blob, ws, got, groups in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for ids, sizes, blob, ws, got, groups in _rows(b):
                 w = np.frombuffer(ws, np.float32).astype(np.float64)
                 more = _told(np.frombuffer(blob, np.uint64), got, groups or 1) > 1
                 doc = np.repeat(np.arange(len(ids)), sizes)
                 total, common = (np.bincount(doc, x, len(ids)) for x in (w, w * more))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
 
-    both = packs.join(told.hint("shuffle_hash"), "chunk", "left").select("l0", "sizes", "h", "w", "got", "groups")
+    both = packs.join(told.repartition(packs._buckets, "chunk").hint("shuffle_hash"), "chunk", "left").select("l0", "sizes", "h", "w", "got", "groups")
     out = materialize(both.mapInArrow(run, "_id bigint, total double, common double"), "weights")
     discard(packs, told)
     return out
@@ -459,6 +474,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     first = keys.where("_md5 is not null").groupBy("_md5").agg(F.min(least).alias("f"))
     first = materialize(first.select("_md5", F.col("f._row").alias("_node"), F.col("f._id").alias("_rep"), "f.chunk", "f.at"), "first-copies")
     told = answers(packs)
+    release(docs.sparkSession)
     sig = materialize(signatures(packs, told, first.select("chunk", "at"), n, bands, rows), "signatures")
 
     member = sig.select("_id", F.posexplode("bands").alias("band", "code"))
@@ -467,6 +483,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     wanted = full.select(F.shiftright("_id", 16).alias("chunk"), F.col("_id").bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("at")).distinct()
     sets = materialize(weighted_sets(packs, told, wanted, n), "sets")
     discard(packs, told)
+    release(docs.sparkSession)
 
     listed = full.where(F.col("n") <= small).groupBy("band", "code").agg(F.sort_array(F.collect_list("_id")).alias("l"))
     pairs = listed.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
