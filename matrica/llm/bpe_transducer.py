@@ -136,7 +136,7 @@ class Transducer:
                 limit, b = b + 1, self._halves(b)[0]
         if len(self.pairs) > self.bound:
             self.pairs.clear()
-        self.pairs[left << 20 | right] = ok
+        self.pairs[left << 32 | right] = ok
         return ok
 
     def _read(self, state: int, piece: bytes, ends: list[int]) -> int:
@@ -150,7 +150,7 @@ class Transducer:
                     break
                 if n < k:
                     last = ends[k - n - 1]
-                    ok = pairs(last << 20 | token)
+                    ok = pairs(last << 32 | token)
                     if follows(last, token) if ok is None else ok:
                         break
             ends.append(token)

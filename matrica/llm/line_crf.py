@@ -6,7 +6,8 @@ it.  A two-state chain, trained on lines that take their document's label,
 gives each line the probability of being good given the whole document
 (forward-backward); a document's quality is the mean of these, weighted by
 line length.  Features are numpy over the bytes of many documents at once;
-training runs on the driver over a bounded sample of labelled documents.
+training runs on the driver over a sample of labelled documents that is
+bounded in documents and in bytes.
 
 Defined cases: a null or empty text is one empty line and gets a score; blank
 lines weigh one byte; repeated rows are scored each; very long texts are
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents a model is fitted on at most; the least by hash of their id.
 TRAIN_DOCS = 3000
+#: Bytes of text of them at most: in hash order, whole documents that still fit.
+TRAIN_BYTES = 16 << 20
 #: Longer training documents are cut into chains of so many lines.
 TRAIN_LINES = 256
 #: Bytes of text whose features are computed together.
@@ -247,11 +250,25 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Chain:
-    """Fit on at most ``train_docs`` labelled rows outside the held-out third."""
+def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Chain:
+    """Fit on at most ``train_docs`` labelled rows outside the held-out third, and ``train_bytes`` of their texts."""
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(train_docs)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id").select("_id", "_t", "_y").collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id")
+    # Rows of one id count each; what is left after the cut by bytes is at most ``train_docs`` texts.
+    texts = texts.withColumn("_n", F.coalesce(F.octet_length("_t"), F.lit(0)))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_y"), F.xxhash64("_t")]
+    sizes = texts.orderBy(*order).limit(train_docs).select("_id", "_y", F.xxhash64("_t").alias("_h"), "_n").collect()
+    chosen, left = set(), train_bytes
+    for r in sizes:
+        if r["_n"] <= left:
+            left -= r["_n"]
+            chosen.add((r["_id"], r["_y"], r["_h"]))
+    if not chosen:
+        return fit([], [])
+    kinds = texts.select("_id", "_y", F.xxhash64("_t").alias("_h")).schema
+    taken = docs.sparkSession.createDataFrame(sorted(chosen), kinds).withColumnRenamed("_h", "_k")
+    rows = texts.withColumn("_k", F.xxhash64("_t")).join(F.broadcast(taken), ["_id", "_y", "_k"]).dropDuplicates(["_id", "_y", "_k"]).select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: (r["_id"], r["_y"], r["_t"] or ""))
     return fit([r["_t"] or "" for r in rows], [r["_y"] for r in rows])
 

@@ -4,8 +4,9 @@ Per document, in one expression over the whole text: word and symbol counts,
 repeated lines, and the words that lie in five-word windows occurring twice or
 more.  Per host (a URL's host or a source name): the share of documents that
 fail a rule, shrunk towards all hosts by a beta prior fitted to the hosts'
-rates by moments; hosts whose shrunk rate is above a threshold lose their
-other documents too.
+rates by weighted moments; hosts whose shrunk rate is above a threshold lose
+their other documents too.  The prior is worth ``MAX_STRENGTH`` documents at
+most, so a host's own documents always tell in the end.
 
 Everything is DataFrame functions.  The text never leaves its row: windows are
 64-bit hashes sorted inside the row, and only counts are written, grouped and
@@ -27,6 +28,8 @@ from matrica.llm._shared import materialize
 _SPACE = " \t\n\x0b\x0c\r"
 #: Ten words at least; a fifth of them repeated at most.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: The prior counts as this many documents at most, also where hosts do not differ at all.
+MAX_STRENGTH = 100.0
 #: A host goes when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
 
@@ -44,18 +47,18 @@ def words_of(text: Column) -> Column:
 def _repeated(words: Column, n: int = 5) -> Column:
     """Words covered by ``n``-word windows that occur at least twice."""
     starts = F.sequence(F.lit(0), F.size(words) - n)
-    # The position is kept in the low bits; equal windows are neighbours after sorting.
+    # Sorted by hash and place, equal windows are neighbours.
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
 
     def covered(h: Column) -> Column:
-        def twice(s: Column) -> Column:
-            return F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+        def places(s: Column) -> Column:
+            return F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))), lambda x: x["i"]))
 
-        def count(rep: Column) -> Column:
-            at = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(rep, x), i)), lambda i: i.isNotNull())
-            return _bind(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(n), F.coalesce(F.get(p, i + 1) - x, F.lit(n)))), F.lit(0), lambda a, b: a + b))
+        def count(p: Column) -> Column:
+            return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(n), F.coalesce(F.get(p, i + 1) - x, F.lit(n)))), F.lit(0), lambda a, b: a + b)
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bind(_bind(F.sort_array(h), twice), count))
+        marked = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bind(_bind(F.sort_array(marked), places), count))
 
     return F.when(F.size(words) <= n, F.lit(0)).otherwise(_bind(hashes, covered)).cast("long")
 
@@ -96,21 +99,42 @@ def base_verdict(text: Column) -> Column:
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``(_host, n, failed, rate, host_failed)`` from document counts.
 
-    The prior's mean and strength come from the first two moments of the
-    hosts' rates, less the variance that binomial counts have anyway; one
-    summary row of fixed size goes through the driver.
+    The prior's mean and overdispersion ``rho`` come from weighted moments of
+    the hosts' rates (Kleinman 1973), in two rounds: hosts weigh by their
+    documents first, then by ``n / (1 + (n - 1) rho)``, so neither a host with a
+    third of all documents nor many tiny ones decide alone.  Summary rows of
+    fixed size go through the driver.
     """
     hosts = counts.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     hosts = materialize(hosts, "host-counts")
-    rate = F.col("failed") / F.col("n")
-    m = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n")).alias("i")).first()
-    mean, var, inv = m["m"] or 0.0, m["v"] or 0.0, m["i"] or 0.0
-    extra = var - mean * (1 - mean) * inv
-    strength = min(1e6, max(2.0, mean * (1 - mean) / extra - 1)) if extra > 0 else 1e6
+    mean, rho = 0.0, 0.0
+    for turn in range(2):
+        w = F.col("n") / (1 + (F.col("n") - 1) * F.lit(rho)) if turn else F.col("n").cast("double")
+        p = F.col("failed") / F.col("n")
+        s = hosts.select(w.alias("w"), p.alias("p"), "n").agg(
+            F.sum("w").alias("w"), F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum(F.col("w") * F.col("p") * F.col("p")).alias("wpp"),
+            F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") / F.col("n")).alias("wn"), F.sum(F.col("w") * F.col("w") / F.col("n")).alias("wwn"),
+        ).first()
+        mean, rho = weighted_prior(s["w"], s["wp"], s["wpp"], s["ww"], s["wn"], s["wwn"]) if s["w"] else (0.0, 0.0)
+    strength = min(MAX_STRENGTH, 1 / rho - 1) if rho > 0 else MAX_STRENGTH
     shrunk = (F.col("failed") + mean * strength) / (F.col("n") + strength)
     return hosts.withColumn("rate", shrunk).withColumn("host_failed", F.col("rate") > max_rate)
 
 
+def weighted_prior(w: float, wp: float, wpp: float, ww: float, wn: float, wwn: float) -> tuple[float, float]:
+    """Mean and overdispersion (0 to 1) from weighted sums over hosts.
+
+    With weights w, the expected weighted square deviation of rates p is
+    ``m (1 - m) (a + rho (b - a))`` with ``a = sum w/n - sum w^2/n / sum w`` and
+    ``b = sum w - sum w^2 / sum w``; it is solved for rho.
+    """
+    mean = wp / w
+    spread, a, b = wpp - wp * wp / w, wn - wwn / w, w - ww / w
+    if mean * (1 - mean) <= 0 or b - a <= 1e-12:
+        return mean, 0.0
+    return mean, min(1.0, max(0.0, (spread / (mean * (1 - mean)) - a) / (b - a)))
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Counts per document with ``base_failed`` and ``kept``."""
     counts = materialize(rule_counts(docs, id_col, text_col, host), "rule-counts")

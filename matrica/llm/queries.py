@@ -135,8 +135,13 @@ c AS (SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(k.n, 0)::BIGINT AS n_repeat_words FROM g LEFT JOIN k USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f GROUP BY source),
-m AS (SELECT avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1 / n) AS i FROM h),
-p AS (SELECT m, CASE WHEN v - m * (1 - m) * i > 0 THEN least(1e6, greatest(2.0, m * (1 - m) / (v - m * (1 - m) * i) - 1)) ELSE 1e6 END AS k FROM m),
+s1 AS (SELECT sum(w) AS w, sum(w * p) AS wp, sum(w * p * p) AS wpp, sum(w * w) AS ww, sum(w / n) AS wn, sum(w * w / n) AS wwn FROM (SELECT n, n::DOUBLE AS w, bad / n AS p FROM h)),
+m1 AS (SELECT wp / w AS m, wpp - wp * wp / w AS s, wn - wwn / w AS a, w - ww / w AS b FROM s1),
+r1 AS (SELECT m, CASE WHEN m * (1 - m) <= 0 OR b - a <= 1e-12 THEN 0.0 ELSE least(1.0, greatest(0.0, (s / (m * (1 - m)) - a) / (b - a))) END AS rho FROM m1),
+s2 AS (SELECT sum(w) AS w, sum(w * p) AS wp, sum(w * p * p) AS wpp, sum(w * w) AS ww, sum(w / n) AS wn, sum(w * w / n) AS wwn FROM (SELECT n, n / (1 + (n - 1) * rho) AS w, bad / n AS p FROM h, r1)),
+m2 AS (SELECT wp / w AS m, wpp - wp * wp / w AS s, wn - wwn / w AS a, w - ww / w AS b FROM s2),
+r2 AS (SELECT m, CASE WHEN m * (1 - m) <= 0 OR b - a <= 1e-12 THEN 0.0 ELSE least(1.0, greatest(0.0, (s / (m * (1 - m)) - a) / (b - a))) END AS rho FROM m2),
+p AS (SELECT m, CASE WHEN rho > 0 THEN least(100.0, 1 / rho - 1) ELSE 100.0 END AS k FROM r2),
 x AS (SELECT source FROM h, p WHERE (bad + p.m * p.k) / (n + p.k) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM x WHERE x.source IS NOT DISTINCT FROM f.source) AS kept FROM f

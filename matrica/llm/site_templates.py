@@ -1,22 +1,28 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into trees.  Subtrees that are boilerplate by their element,
-role or class go first.  For the rest, each container's subtree is hashed and
+Pages are parsed into trees.  Every container of the whole page, menus, headers
+and footers as well as boxes inside the article, has its subtree hashed and is
 counted per host in Spark: one that recurs with many of a host's different
 articles, by their share or on a large host by their number, is the site's
-template and is deleted.  Copies of one article count once, in the share too, and bare paragraphs inside a page's article are never
-candidates, so repeated articles and passages stay.  Counting is a grouped sum
-over (host, hash) with map-side combining; hits go back by page, so a host
-with a third of all pages is spread like any other.
-
-The text that is left: of the main article if the page has one (else of the
-body), character references decoded, white space inside a block to one space,
-trimmed, blocks joined by one line break.
+template and is deleted.  Copies of one article count once, in the share too,
+and bare paragraphs inside a page's article are never candidates, so repeated
+articles and passages stay.  What recurrence cannot tell, on hosts of few pages
+or in blocks that differ from page to page (adverts, reader comments, forms),
+goes by element, role or class; ``n_templates`` says how many subtrees of a
+page recurrence deleted, so how much of the work each did can be read off.
+Counting is a grouped sum over (host, hash) with map-side combining; hits go
+back by page, so a host with a third of all pages is spread like any other.
+
+The text that is left: of the page's articles, in page order, if it has any
+(else of ``main``, a container named so, or the body), character references
+decoded, white space inside a block to one space, trimmed, blocks joined by
+one line break.  Trees are walked without recursion, at any depth.
 
 Defined cases: null or empty HTML gives an empty text; unclosed and stray tags
 are tolerated, a page without any tag is one block of text; a null URL counts
-as the host ''; repeated pages are extracted each; an empty table gives no
-rows; other columns are ignored.
+as the host ''; repeated pages are extracted each, those of one id lose what is
+a template on any of them; a null id keeps its templates; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ _DROP = frozenset("nav footer aside form button select dialog menu fieldset labe
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers whose subtrees may be templates, in and outside the article.
-_UNITS = frozenset("div section ul ol dl table header figure details center".split())
+_UNITS = frozenset("div section ul ol dl table header figure details center nav footer aside form menu dialog fieldset".split())
 _ENDS_P = _BLOCK - {"body", "html"}
 _ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 _BAD = re.compile(
@@ -141,42 +147,47 @@ def boilerplate(node: Node, in_main: bool) -> bool:
     return bool(_BAD.search(f"{node.get('class')} {node.get('id')}"))
 
 
-def _weight(node: Node) -> int:
-    return sum(len(k) if isinstance(k, str) else _weight(k) for k in node.kids)
-
-
-def _strip(node: Node, in_main: bool, gone: frozenset[str] = frozenset()) -> None:
-    kept = []
-    for k in node.kids:
-        if not isinstance(k, str):
-            inside = in_main or k.tag in ("article", "main")
-            if boilerplate(k, inside) or (k.tag in _UNITS and gone and subtree_key(k) in gone):
-                continue
-            _strip(k, inside, gone)
-        kept.append(k)
-    node.kids = kept
-
-
-def _canon(node: Node, out: list[str]) -> None:
-    out.append(f"<{node.tag} {node.get('class')}>")
-    for k in node.kids:
-        if isinstance(k, str):
-            out.append(_WHITE.sub(" ", k).strip())
-        else:
-            _canon(k, out)
-    out.append(f"</{node.tag}>")
-
-
-def subtree_key(node: Node) -> str:
-    if node.key is None:
-        out: list[str] = []
-        _canon(node, out)
-        node.key = hashlib.md5("".join(out).encode("utf-8", "replace")).hexdigest()
-    return node.key
+def _strip(root: Node, gone: frozenset[str] = frozenset()) -> int:
+    """Take out templates, then boilerplate; returns how many templates went."""
+    count, stack = 0, [(root, False)]
+    while stack:
+        node, in_main = stack.pop()
+        kept = []
+        for k in node.kids:
+            if not isinstance(k, str):
+                inside = in_main or k.tag in ("article", "main")
+                if gone and k.key in gone:
+                    count += 1
+                    continue
+                if boilerplate(k, inside):
+                    continue
+                stack.append((k, inside))
+            kept.append(k)
+        node.kids = kept
+    return count
+
+
+def _set_keys(root: Node) -> list[Node]:
+    """Give every container its subtree's digest, children first; lists the containers."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [k for k in n.kids if not isinstance(k, str)]
+    units, digest = [], {}
+    for n in reversed(order):
+        out = [n.tag, n.get("class") if n.attrs else ""]
+        for k in n.kids:
+            out.append("\1" + _WHITE.sub(" ", k).strip() if isinstance(k, str) else "\2" + digest.pop(id(k)))
+        key = digest[id(n)] = hashlib.md5("\0".join(out).encode("utf-8", "replace")).hexdigest()
+        if n.tag in _UNITS:
+            n.key = key
+            units.append(n)
+    return units
 
 
 def main_node(root: Node) -> Node:
-    """The page's article: the heaviest ``article``, else ``main``, else a container named so, else the body."""
+    """The page's articles under one node, in page order; else the heaviest ``main``, container named so, or body."""
     found: dict[int, list[Node]] = {0: [], 1: [], 2: [], 3: []}
     stack = [root]
     while stack:
@@ -193,12 +204,36 @@ def main_node(root: Node) -> Node:
                 found[2].append(k)
             elif k.tag == "body":
                 found[3].append(k)
-    for level in range(4):
+    if found[0]:
+        return _outermost(root)
+    for level in (1, 2, 3):
         if found[level]:
-            return max(found[level], key=_weight)
+            return max(found[level], key=lambda n: sum(map(len, _texts(n))))
     return root
 
 
+def _texts(node: Node) -> Iterator[str]:
+    stack = [node]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                yield k
+            else:
+                stack.append(k)
+
+
+def _outermost(root: Node) -> Node:
+    """A node with the articles that are in no other article."""
+    top, stack = Node("body"), [root]
+    while stack:
+        n = stack.pop()
+        if n.tag == "article":
+            top.kids.append(n)
+        else:
+            stack += reversed([k for k in n.kids if not isinstance(k, str)])
+    return top.kids[0] if len(top.kids) == 1 else top
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks in page order."""
     out: list[str] = []
@@ -210,64 +245,31 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                line.append(k)
-            elif k.tag == "br":
-                line.append(" ")
-            elif k.tag in _BLOCK:
-                end()
-                walk(k)
-                end()
-            else:
-                walk(k)
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    walk(node)
+    stack: list = list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if k is None:  # a block ends
+            end()
+        elif isinstance(k, str):
+            line.append(k)
+        elif k.tag == "br":
+            line.append(" ")
+        elif k.tag in _BLOCK:
+            end()
+            stack.append(None)
+            stack += reversed(k.kids)
+        else:
+            stack += reversed(k.kids)
     end()
     return out
 
 
-def _ready(html: str | None) -> Node:
-    root = parse(html or "")
-    _flatten_deep(root)
-    _strip(root, False)
-    return main_node(root)
-
-
-def _flatten_deep(root: Node, limit: int = 800) -> None:
-    """Lift what is nested deeper than ``limit`` so that walking stays within the stack; order and text stay."""
-    stack = [(root, 0)]
-    while stack:
-        n, depth = stack.pop()
-        if depth < limit:
-            stack += [(k, depth + 1) for k in n.kids if not isinstance(k, str)]
-            continue
-        flat, todo = [], list(reversed(n.kids))
-        while todo:
-            k = todo.pop()
-            if isinstance(k, str):
-                flat.append(k)
-            else:
-                todo.extend(reversed(k.kids))
-                flat.append(Node("br", "", n))
-        n.kids = flat
-
-
 def unit_keys(html: str | None) -> tuple[str, list[str]]:
-    """A digest of the article's text, and the keys of its containers."""
-    top = _ready(html)
-    keys, stack = set(), [top]
-    while stack:
-        n = stack.pop()
-        for k in n.kids:
-            if not isinstance(k, str):
-                stack.append(k)
-                if k.tag in _UNITS:
-                    keys.add(subtree_key(k))
+    """A digest of the article's text, and the keys of the page's containers."""
+    root = parse(html or "")
+    keys = {n.key for n in _set_keys(root)}
+    _strip(root)
+    top = main_node(root)
     whole = hashlib.md5("\n".join(b for b in _plain(top)).encode("utf-8", "replace")).hexdigest()
     return whole, sorted(keys)
 
@@ -284,11 +286,13 @@ def _plain(top: Node) -> list[str]:
     return out or blocks(top)
 
 
-def extract(html: str | None, gone: frozenset[str] = frozenset()) -> str:
-    top = _ready(html)
+def extract(html: str | None, gone: frozenset[str] = frozenset()) -> tuple[str, int]:
+    """The main text, and how many subtrees went as templates."""
+    root = parse(html or "")
     if gone:
-        _strip(top, True, gone)
-    return "\n".join(blocks(top))
+        _set_keys(root)
+    count = _strip(root, gone)
+    return "\n".join(blocks(main_node(root))), count
 
 
 def host_key(url):
@@ -317,21 +321,18 @@ def template_keys(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, sure_pages: int = SURE_PAGES) -> DataFrame:
-    """``(id, url, text, n_chars)`` for every page."""
+    """``(id, url, text, n_chars, n_templates)`` for every page."""
     hits = template_keys(pages, id_col, url_col, html_col, min_pages, min_share, sure_pages).groupBy("_id").agg(F.collect_set("_key").alias("_gone"))
     hits = materialize(hits, "page-templates")
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
-    if hits.limit(1).count():
-        rows = rows.join(hits, rows[id_col] == hits["_id"], "left").select(id_col, url_col, "_html", "_gone")
-    else:
-        rows = rows.withColumn("_gone", F.lit(None).cast("array<string>"))
+    rows = rows.join(hits, rows[id_col] == hits["_id"], "left").select(id_col, url_col, "_html", "_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for k in range(0, big.num_rows, 256):
                 b = big.slice(k, 256)
                 texts = [extract(h, frozenset(g or ())) for h, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int32())], [id_col, url_col, "text", "n_chars", "n_templates"])
 
     kinds = dict(pages.dtypes)
-    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint")
+    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint, n_templates int")

@@ -5,6 +5,9 @@ their partition and written as ORC: the writer run-length encodes the integer
 columns, keeps row indexes per stride, and a Bloom filter on the document id,
 so a reader can skip files, stripes and strides by metadata.  Reading back is
 parallel by stripe; only footers and the count column are read for offsets.
+A lookup of documents filters on the id in the scan itself, before any offset
+is taken, so stripes and strides without them are skipped by their statistics
+and Bloom filters.
 
 Tokenization goes by white-space words: the tokenizer drops white space and
 never joins across it, so a word's ids do not depend on its neighbours and
@@ -13,8 +16,8 @@ plain set (where normalisation could look across words) and texts that spell
 a special token go through the tokenizers library as a whole.
 
 Defined cases: null or empty text is the end id alone; equal document ids stay
-separate rows, ordered among themselves by their ids' checksum; other columns
-are ignored; an empty table gives no rows.
+separate rows, in the files and by ``start`` ordered among themselves by a hash
+of their token ids; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +78,8 @@ class WordEncoder:
 
 
 class _Words(dict):
-    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+    #: Of the plain set, the characters that are neither letters nor decimal digits but numbers.
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
     def __init__(self, model, bound: int):
         super().__init__()
@@ -121,22 +125,27 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_co
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>")
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, stripe_mb: int = 32) -> None:
+def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, stripe_mb: int = 32, stride: int = 10_000) -> None:
     """Tokenize and write ascending by document id; file order is id order."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(id_col, text_col).repartitionByRange(n, F.col(id_col))
     rows = tokenize(dealt, tokenizer_path, end_id, id_col, text_col)
     (
-        rows.sortWithinPartitions(id_col)
+        rows.sortWithinPartitions(id_col, F.xxhash64("ids"))
         .write.option("orc.bloom.filter.columns", id_col)
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "10000")
+        .option("orc.row.index.stride", str(stride))
         .option("orc.stripe.size", str(stripe_mb << 20))
         .option("orc.compress", "ZSTD")
         .orc(path)
     )
 
 
+def lookup_tokens(spark: SparkSession, path: str, wanted: list, id_col: str = "doc_id") -> DataFrame:
+    """Rows ``(id, n_tokens, ids)`` of some documents; the files' metadata decides what is read."""
+    return spark.read.orc(path).where(F.col(id_col).isin(wanted)).select(id_col, "n_tokens", "ids")
+
+
 def read_token_orc(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Rows ``(id, start, n_tokens, ids)``: where each document starts in the stream of all ids.
 
@@ -146,7 +155,7 @@ def read_token_orc(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     rows = spark.read.orc(path).withColumn("_file", F.col("_metadata.file_path"))
     counts = rows.groupBy("_file").agg(F.min(id_col).alias("_least"), F.sum("n_tokens").alias("_n"))
     before = counts.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_least").asc_nulls_first(), "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_file").orderBy(F.col(id_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_file").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select("_file", id_col, "n_tokens", "ids").join(before, "_file")
     return starts.select(id_col, (F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids")
 
@@ -161,11 +170,11 @@ def token_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Dat
             flat = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
             at = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64()), b.column(3)], [id_col, "n_tokens", "ids_crc32", "_file"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64()), b.column(3), b.column(4)], [id_col, "n_tokens", "ids_crc32", "_file", "_tie"])
 
     kind = dict(spark.read.orc(path).dtypes)[id_col]
-    rows = spark.read.orc(path).select(id_col, "n_tokens", "ids", F.col("_metadata.file_path").alias("_file")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, _file string")
+    rows = spark.read.orc(path).select(id_col, "n_tokens", "ids", F.col("_metadata.file_path").alias("_file"), F.xxhash64("ids").alias("_tie")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, _file string, _tie bigint")
     counts = spark.read.orc(path).select(id_col, "n_tokens", F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.min(id_col).alias("_least"), F.sum("n_tokens").alias("_n"))
     before = counts.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_least").asc_nulls_first(), "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_file").orderBy(F.col(id_col).asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_file").orderBy(F.col(id_col).asc_nulls_first(), "_tie").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(before, "_file").select(id_col, (F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")

@@ -4,6 +4,9 @@ A URL gives a set of tokens: its scheme, the labels of its host, the words of
 its path, and query keys; numbers are left out.  FP-growth over the labelled URLs' token sets, each with its label as an
 item, gives rules "these tokens imply block", pruned by support, confidence
 and lift, and by dropping a rule when a subset of its tokens is a rule too.
+Support is a number of URLs, so a bad host is found however many others there
+are; the lift asked for is never more than half of what any rule could reach
+above 1, so rules are found also where most labelled URLs are bad.
 URLs are matched by an inverted index: each rule is filed under its rarest
 token, a URL looks up its own tokens only, and the rule's other tokens are
 checked in the row.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from matrica.llm._shared import materialize
 
 FIXED = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.5
+MIN_CONFIDENCE, MIN_LIFT = 0.6, 1.5
 #: Labelled URLs a rule must hold on at least, whatever their share.
 MIN_COUNT = 20
 #: Rules that may be broadcast; more are joined by shuffle.
@@ -66,12 +69,11 @@ def url_tokens(url: Column) -> Column:
     return F.when(text.contains("://"), F.array_distinct(known)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
+def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """``(tokens array, support, confidence, lift)``: rules whose consequent is block.
 
-    Counting is distributed (FP-growth); a rule must hold on at least
-    ``min_support`` of the labelled URLs and on ``min_count`` of them, which
-    bounds how many there are.
+    Counting is distributed (FP-growth); a rule must hold on ``min_count`` of
+    the labelled URLs at least, ``min_confidence`` of those with its tokens.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -79,13 +81,14 @@ def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: f
     items = labelled.select(F.concat(url_tokens(F.col(url_col)), F.when(block, F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     items = materialize(items.where(F.size("items") > 0), "url-items")
     shape = "tokens array<string>, support double, confidence double, lift double"
-    if not items.where(F.array_contains("items", _BLOCK)).limit(1).count():
+    seen = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", _BLOCK)).alias("bad")).first()
+    # No rule can hold on more URLs than there are bad ones; one kind of label alone tells nothing.
+    if seen["bad"] < min_count or seen["bad"] == seen["n"]:
         return labelled.sparkSession.createDataFrame([], shape)
-    n = items.count()
-    if n < min_count:
-        return labelled.sparkSession.createDataFrame([], shape)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= min_lift))
+    # A hair below, so that the product with n does not round up past the count.
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 1e-6) / seen["n"], minConfidence=min_confidence).fit(items)
+    lift = min(min_lift, (1 + seen["n"] / seen["bad"]) / 2)
+    rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= lift))
     rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence", "lift"), "url-rules")
     # A rule with a subset that is a rule too adds nothing to block: found by token, not by pairs of rules.
     index = rules.select(F.col("tokens").alias("sub"), F.explode("tokens").alias("t"))

@@ -4,8 +4,8 @@ Writing: each task streams its records into one archive of its own, payloads
 in chunks, a gzip member per record; the file gets its final name when it is
 complete, and only files named in the manifest (an ordinary Spark table, so
 committed once) are ever read.  Payload digests are taken first, over rows of
-digest and id only; of equal payloads the least id is the response, later ones
-are revisit records without payload.
+digest, id and URL only; of equal payloads the least id is the response, later
+ones are revisit records without payload.
 
 Reading: the manifest's files are dealt to tasks; each streams its archive and
 yields one row per record and chunk number, with the bytes of the chunk, the
@@ -17,10 +17,13 @@ Archives are opened through ``pyarrow.fs``, so the shared folder may be any
 store it knows.
 
 Defined cases: a null payload is empty; payloads smaller than
-``min_revisit`` are always responses; several rows of one id are records of
-their own; a null id is written as an empty id; a URL with line breaks is
-written with them percent-encoded; an empty table writes no archive and reads
-as no rows.
+``min_revisit`` are always responses.  Every row is one record: rows of one id
+are told apart by payload and URL, of equal payloads the least (id, URL) is
+the response, and of rows equal in all three one is written as the first and
+the others after it.  A null id comes last, is written as an empty id and is
+never referred to, so copies among null ids only are all responses.  A URL
+with line breaks is written with them percent-encoded; an empty table writes
+no archive and reads as no rows.
 """
 
 from __future__ import annotations
@@ -47,12 +50,23 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
 
 
-def first_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 0) -> DataFrame:
-    """``(id, refers_to)`` of the rows whose payload another row with a smaller id has."""
+def _keyed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """``(_p, _u, _d, _sha, _n, _key)``: ``_key`` is one for rows equal in id, URL and payload."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    keys = materialize(pages.select(F.col(id_col).cast("long").alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n")), "payload-keys")
-    least = keys.where(F.col("_n") >= min_revisit).groupBy("_sha", "_n").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    return keys.join(least, ["_sha", "_n"]).where(F.col("_id") > F.col("_first")).select("_id", F.col("_first").alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("_p"), F.col(url_col).cast("string").alias("_u"), F.col(payload_col).alias("_d"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n"))
+    return rows.withColumn("_key", F.sha1(F.concat_ws("|", F.coalesce(F.col("_p").cast("string"), F.lit("-")), "_sha", F.col("_u").isNull().cast("string"), "_u")))
+
+
+def record_plan(keyed: DataFrame, min_revisit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(_k, refers_to)`` of the rows that revisit a smaller one, and ``(_k, copies)`` of rows that are there several times."""
+    keys = materialize(keyed.select("_key", "_p", "_u", "_sha", "_n"), "payload-keys")
+    each = keys.groupBy("_key", "_p", "_u", "_sha", "_n").agg(F.count(F.lit(1)).alias("copies"))
+    each = materialize(each, "payload-rows")
+    least = F.min(F.struct(F.col("_p").isNull().alias("z"), "_p", F.col("_u").isNull().alias("y"), "_u", "_key")).alias("f")
+    first = each.where(F.col("_n") >= min_revisit).groupBy("_sha", "_n").agg(least, F.count(F.lit(1)).alias("rows"))
+    first = first.where("rows > 1 and f._p is not null").select("_sha", "_n", F.col("f._p").alias("refers_to"), F.col("f._key").alias("_first"))
+    again = each.join(first, ["_sha", "_n"]).where(F.col("_key") != F.col("_first")).select(F.col("_key").alias("_k"), "refers_to")
+    return again, each.where("copies > 1").select(F.col("_key").alias("_k"), "copies")
 
 
 def _head(kind: str, page: int | None, url: str | None, sha: str, size: int, refers: int | None) -> bytes:
@@ -77,9 +91,18 @@ def _digest(h) -> str:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write all rows; returns the manifest ``(path, records, bytes)``."""
     spark = pages.sparkSession
-    again = first_pages(pages, id_col, payload_col, min_revisit)
-    rows = pages.select(F.col(id_col).cast("long").alias("_p"), F.col(url_col).cast("string").alias("_u"), F.col(payload_col).alias("_d"))
-    rows = rows.join(again, rows["_p"] == again["_id"], "left").select("_p", "_u", "_d", "refers_to")
+    keyed = _keyed(pages, id_col, url_col, payload_col)
+    again, twins = record_plan(keyed, min_revisit)
+    twins = materialize(twins, "payload-twins")
+    if twins.limit(1).count():
+        # Rows equal in id, URL and payload: one is carried, with how many there are, and written so often.
+        one = keyed.join(twins, keyed["_key"] == twins["_k"], "left_semi").dropDuplicates(["_key"])
+        one = one.join(twins, one["_key"] == twins["_k"]).select(*keyed.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_turn"))
+        keyed = keyed.join(twins, keyed["_key"] == twins["_k"], "left_anti").withColumn("_turn", F.lit(1).cast("long")).union(one)
+        later = (F.col("_turn") > 1) & F.col("_p").isNotNull() & (F.col("_n") >= min_revisit)
+    else:
+        later = F.lit(False)
+    rows = keyed.join(again, keyed["_key"] == again["_k"], "left").select("_p", "_u", "_d", F.coalesce("refers_to", F.when(later, F.col("_p"))).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)

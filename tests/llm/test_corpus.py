@@ -84,6 +84,45 @@ def test_token_orc_round_trip(spark, tmp_path):
     assert [r["start"] for r in token_orc.read_token_orc(spark, path).orderBy("doc_id").collect()] == [w[1] for w in want]
 
 
+def test_word_encoder_equals_tokenizer_on_all_pairs():
+    """Every pair of characters of the plain set, alone and inside words."""
+    import public_tokenizers as P
+
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        e = token_orc.WordEncoder(f.read())
+    plain = [chr(c) for c in range(0x2200) if not token_orc._ODD.match(chr(c))]
+    assert e.by_word and len(plain) > 250
+    for a in plain:
+        texts = [a + b for b in plain] + ["x" + a + b + "1" for b in plain]
+        want = [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+        assert [e.encode(t) for t in texts] == want, a
+
+
+def test_token_orc_ties_and_pruned_lookup(spark, tmp_path):
+    import public_tokenizers as P
+
+    texts = [f"text {i}" for i in range(4000)]
+    d = docs(spark, texts).union(docs(spark, ["b", "a b c", "b"]).withColumn("doc_id", F.lit(7).cast("long")))
+    path = f"file://{tmp_path}/orc"
+    token_orc.write_token_orc(d, path, P.path("word_bpe_49k.json"), partitions=1, stride=1000)
+    rows = token_orc.read_token_orc(spark, path).orderBy("start").collect()
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"])
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in rows] == sorted([*range(4000), 7, 7, 7])
+    crc = [(r["doc_id"], r["start"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in rows]
+    assert sorted(crc) == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in token_orc.token_digests(spark, path).collect())
+    got = token_orc.lookup_tokens(spark, path, [3500])
+    assert [r["ids"] for r in got.collect()] == [r["ids"] for r in rows if r["doc_id"] == 3500]
+    scan = got._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert "PushedFilters: [In(doc_id" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple") or "EqualTo(doc_id,3500)" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert scan.metrics().apply("numOutputRows").value() <= 1003  # one stride of four
+    empty = f"file://{tmp_path}/none"
+    token_orc.write_token_orc(d.limit(0), empty, P.path("word_bpe_49k.json"), partitions=1)
+    assert token_orc.token_digests(spark, empty).count() == 0
+
+
 def brute_repeat(w, n=5):
     seen = {}
     for i in range(len(w) - n + 1):
@@ -302,6 +341,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_ids_and_ties(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (2, "v", "same"), (2, "u", "other"), (3, "u", "x"), (None, "u", "x"), (None, None, "null ids"), (None, None, "null ids")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _key int")
+    key = lambda r: tuple(str(x) for x in r)
+    dig = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, dig("same"), "response", None), (1, dig("same"), "revisit", 1), (2, dig("same"), "revisit", 1), (2, dig("same"), "revisit", 1), (2, dig("other"), "response", None), (3, dig("x"), "response", None)]
+    want += [(None, dig("x"), "revisit", 3), (None, dig("null ids"), "response", None), (None, dig("null ids"), "response", None)]
+    got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r["record_type"] for r in warc.round_trip(pages.where("page_id = 1"), min_revisit=5).collect()} == {"response"}
+
+
 def test_warc_rejects_cut_archive():
     blob = gzip.compress(warc._head("response", 1, "u", "X", 50, None) + b"short")
     with pytest.raises(ValueError):
@@ -350,3 +401,115 @@ def test_url_rules_and_mining(spark):
     assert got[5] == got[6] == ("", "", None, "allow") and got[7] == ("a.com", "", None, "allow")
     none = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), lab.where("not block"))
     assert none.where(F.col("n_rules") > 0).count() == 0
+
+
+def test_url_mining_equals_brute_force(spark):
+    """A rare bad host among many good URLs, and a table that is mostly bad: verdicts against all token sets."""
+    import itertools
+
+    r = random.Random(8)
+    rare = [(f"http://{r.choice(['a', 'b', 'c'])}.good{r.randrange(9)}.org/{r.choice(['news', 'blog', 'shop'])}/{r.choice(['x', 'y'])}", r.random() < 0.02) for _ in range(3000)]
+    rare += [(f"http://pills.bad.net/{r.choice(['buy', 'read'])}/x", r.random() < 0.9) for _ in range(30)]
+    most = [(f"http://{'spam' if i % 4 else 'ham'}{i % 3}.net/{r.choice(['p', 'q'])}/{'deal' if i % 8 > 3 else 'info'}", bool(i % 4) or r.random() < 0.3) for i in range(400)]
+    for rows in (rare, most):
+        lab = spark.createDataFrame(rows, "url string, block boolean")
+        tokens = [frozenset(x["t"]) for x in lab.select(url_filter.url_tokens(F.col("url")).alias("t")).collect()]
+        bad, n = [b for _, b in rows], len(rows)
+        rate = sum(bad) / n
+        sets = {frozenset(c) for t in set(tokens) for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+        lift, rules = min(url_filter.MIN_LIFT, (1 + 1 / rate) / 2), []
+        for c in sets:
+            on = [b for t, b in zip(tokens, bad) if c <= t]
+            if sum(on) >= url_filter.MIN_COUNT and sum(on) / len(on) >= url_filter.MIN_CONFIDENCE and sum(on) / len(on) / rate >= lift:
+                rules.append(c)
+        want = {u: any(c <= t for c in rules) for (u, _), t in zip(rows, tokens)}
+        urls = sorted(want)
+        pages = spark.createDataFrame([*enumerate(urls), (len(urls), urls[0])], "page_id long, url string").withColumn("rule", F.lit(1)).withColumn("_id", F.lit(2))
+        got = {(x["page_id"], x["verdict"]) for x in url_filter.judge_urls(pages, lab, fixed=[]).collect()}
+        assert got == {(i, "block" if want[u] else "allow") for i, u in [*enumerate(urls), (len(urls), urls[0])]}
+        assert 0 < sum(want.values()) < len(want)
+    assert url_filter.judge_urls(pages.limit(0), lab).count() == 0
+    long = spark.createDataFrame([(1, "http://pills.bad.net/" + "buy/" * 30_000)], "page_id long, url string")
+    assert url_filter.judge_urls(long, lab.limit(0)).first()["verdict"] == "allow"
+
+
+def test_host_prior_equals_sql(spark, tmp_path):
+    """Hosts that fall and hosts that stay, one with a third of all rows, against the SQL form."""
+    import duckdb
+
+    from matrica.llm import queries
+
+    rows, k = [], 0
+    for h, n, bad in [("hot", 150, 0.7), ("fine", 80, 0.05), ("tiny-bad", 2, 1.0), ("bad", 40, 0.9), (None, 60, 0.1), *((f"h{i}", 12, 0.1) for i in range(8))]:
+        for i in range(n):
+            rows.append((k, "bad text" if i < bad * n else words(30, k), "en", h, 1))
+            k += 1
+    d = spark.createDataFrame([*rows, rows[0], rows[100]], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality_rules.quality_verdicts(d).toPandas().sort_values(["doc_id"]).reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    one = "SELECT source, sum((NOT kept AND NOT base_failed)::INT) AS gone FROM (" + queries.oracle_sql()["op4_quality_rules"] + ") JOIN (SELECT DISTINCT doc_id, source FROM documents) USING (doc_id) GROUP BY source"
+    gone = {h: n for h, n in con.sql(one).fetchall() if n}
+    back = got.merge(d.select("doc_id", "source").distinct().toPandas(), on="doc_id")
+    mine = back[~back.kept & ~back.base_failed].groupby("source").size().to_dict()
+    assert mine == gone and set(mine) == {"hot", "bad"}
+
+
+def test_prior_recovers_its_parameters():
+    rng = np.random.default_rng(3)
+    n = rng.integers(5, 200, 4000)
+    for mean, strength in ((0.2, 5.0), (0.5, 30.0)):
+        p = rng.binomial(n, rng.beta(mean * strength, (1 - mean) * strength, 4000)) / n
+        m, rho = quality_rules.weighted_prior(n.sum(), (n * p).sum(), (n * p * p).sum(), (n * n).sum(), 4000.0, n.sum())
+        assert abs(m - mean) < 0.02 and abs(1 / rho - 1 - strength) < 0.15 * strength
+    assert quality_rules.weighted_prior(10.0, 0.0, 0.0, 50.0, 2.0, 10.0) == (0.0, 0.0)
+
+
+def test_fit_is_bounded_in_bytes(spark):
+    good, bad = "\n".join([words(8, 1)] * 3), "\n".join(["$$$ *** " + words(3, 2)] * 3)
+    rows = [(i, (good if i % 2 else bad) + f" {i}", "en", "s", 1, 0) for i in range(60)] + [(100, "long " * 50_000, "en", "s", 1, 0), (1, good, "xx", "s", 1, 0), (101, None, "en", "s", 1, 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 0), (101, 1), (None, 1), (5, None), (7, 9), (999, 0)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
+    m = line_crf.fit_labels(d, lab, train_bytes=6000)
+    s = {(r["doc_id"], r["score"] >= 0.5) for r in line_crf.score_documents(d, m).collect() if r["doc_id"] < 60}
+    assert sum((i, i % 2 == 1) in s for i in range(60)) >= 57
+    assert line_crf.score_documents(d.limit(0), m).count() == 0
+    assert line_crf.fit_labels(d, lab.limit(0)).constant == 1.0 and line_crf.fit_labels(d, lab.where("quality = 1")).constant == 1.0
+    assert line_crf.fit_labels(d, lab, train_bytes=1).constant is not None
+
+
+def test_decontamination_repeats_and_empty(spark):
+    items = [words(30, 50), words(30, 50), words(6, 51)]
+    b = spark.createDataFrame([(0, items[0]), (1, items[1]), (2, items[2]), (2, items[2])], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x y " + items[0]), (1, items[2]), (1, items[2]), (2, words(9, 3)), (None, items[0])], "doc_id long, text string").withColumn("_s", F.lit(1))
+    got = sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.contaminated(d, b).collect())
+    assert got == [(1, 0, 26, 26), (1, 1, 26, 26), (1, 2, 2, 2)]
+    assert decontaminate.contaminated(d.limit(0), b).count() == 0
+
+
+def test_site_templates_without_telling_names(spark):
+    """Boilerplate that no name gives away goes by recurrence alone; a host of few pages keeps it."""
+    page = "<body><div class=x1><p>All our pages carry this</p></div><article><h1>T%d</h1><p>Text %d</p><section class=x2>Share me</section></article><article><p>Second %d</p></article><div class=x3>End</div></body>"
+    rows = [(i, f"http://big.org/{i}", page % (i, i, i), 1) for i in range(40)] + [(100 + i, f"http://few.org/{i}", page % (i, i, i), 1) for i in range(2)] + [(0, "http://big.org/0", page % (0, 0, 0), 1)]
+    out = site_templates.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, _key int")).collect()
+    got = {r["page_id"]: (r["text"], r["n_templates"]) for r in out}
+    assert len(out) == 43 and all(got[i] == (f"T{i}\nText {i}\nSecond {i}", 3) for i in range(40))
+    assert got[100] == ("T0\nText 0\nShare me\nSecond 0", 0)
+    deep = "<div>" * 5000 + "<nav>gone</nav><p>a<p>b" + "</div>" * 5000
+    assert site_templates.extract(deep)[0] == "a\nb"
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = [words(30, 70 + i) for i in range(3)]
+    texts = ["\n".join(words(12, 200 + 7 * i + k) for k in range(6)) for i in range(60)]
+    texts += [texts[0], texts[1] + " more", "short", None, texts[2] + "\n" + bench[1], "\n".join(["$$$ *** !!! ###"] * 12)]
+    docs(spark, texts).drop("band").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(40)] + [(65, 0, 0), (62, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r["doc_id"] for r in out.collect()}
+    assert got >= set(range(3, 60)) and not got & {60, 61, 62, 63, 64}
+    assert {"doc_id", "n_tokens"} <= set(out.columns)
