@@ -4,6 +4,7 @@ lineage, and the tables of a directory."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
@@ -72,6 +73,18 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int):
+    """Arrow batches of at most so many bytes for what is run inside; rows that are large by themselves go one by one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before.rstrip("b")) if before.rstrip("b").isdigit() else most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let shuffles that nothing refers to any more go now, not at the cleaner's next turn.
 

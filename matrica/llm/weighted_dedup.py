@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.llm._shared import bucketed, discard, materialize, release
+from matrica.llm._shared import batch_bytes, bucketed, discard, materialize, release
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
@@ -58,6 +58,8 @@ SMALL = 12
 _STEP = 1 << 20
 #: Shingles to a range of the exact count, and documents to a pack at most.
 GROUP, PACKED = 1 << 20, 1 << 16
+#: Bytes of packs or sets sent to a Python worker at once.
+BATCH = 8 << 20
 
 _U = np.uint64
 _MIXED = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -202,6 +204,15 @@ def _decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _tight(n: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold the largest."""
+    return n.astype(np.min_scalar_type(int(n.max())) if len(n) else np.uint8).tobytes()
+
+
+def _loose(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // size}") if size else np.empty(0, np.uint8)
+
+
 _ASKED = "group int, chunk bigint, h binary, n binary"
 _PACK = "sizes array<int>, h binary, w binary"
 
@@ -210,11 +221,11 @@ def _asked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["group", "chunk", "h", "n"])
 
 
-def _packed(lists: list, sizes, h: np.ndarray, w: np.ndarray, kinds: list) -> pa.RecordBatch:
-    """One pack as a batch: lists per document, shingles per document, all hashes, all 32-bit counts or weights."""
+def _packed(lists: list, sizes, h: np.ndarray, w: bytes, kinds: list) -> pa.RecordBatch:
+    """One pack as a batch: lists per document, shingles per document, all hashes, all counts or weights."""
     cols = [pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds)]
     names = [f"l{k}" for k in range(len(lists))] + ["sizes", "h", "w"]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names)
+    return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([w], pa.binary())], names)
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -231,7 +242,7 @@ def text_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
             for part, texts in _chunks(rows, [t or "" for t in b.column(1).to_pylist()]):
                 d, h, tf = shingles(texts)
-                yield _packed([[x for x, _ in part], [m for _, m in part]], np.bincount(d, minlength=len(texts)), h, tf.astype(np.int32), kinds)
+                yield _packed([[x for x, _ in part], [m for _, m in part]], np.bincount(d, minlength=len(texts)), h, _tight(tf), kinds)
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_md5"))
     packs = src.mapInArrow(pack, f"l0 array<{src.schema['_id'].dataType.simpleString()}>, l1 array<string>, {_PACK}")
@@ -253,7 +264,7 @@ def set_packs(sets: DataFrame) -> DataFrame:
                     size += len(blobs[j])
                     j += 1
                 got = [_unpack(x) for x in blobs[k:j]]
-                yield _packed([ids[k:j]], [len(h) for h, _ in got], np.concatenate([h for h, _ in got]), np.concatenate([w for _, w in got]).astype(np.float32), [pa.int64()])
+                yield _packed([ids[k:j]], [len(h) for h, _ in got], np.concatenate([h for h, _ in got]), np.concatenate([w for _, w in got]).astype(np.float32).tobytes(), [pa.int64()])
                 k = j
 
     packs = sets.select("_id", "set").mapInArrow(pack, f"l0 array<bigint>, {_PACK}")
@@ -270,22 +281,23 @@ def answers(packs: DataFrame) -> DataFrame:
             for chunk, blob in _rows(b):
                 h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
                 if len(h):
-                    yield _asked([(g, chunk, _code(h[at]), n[at].astype(np.int32).tobytes()) for g, at in _by_group(h, groups)])
+                    yield _asked([(g, chunk, _code(h[at]), _tight(n[at])) for g, at in _by_group(h, groups)])
 
     def answer(table: pa.Table) -> pa.Table:
-        hs, ns = [_decode(x) for x in table.column("h").to_pylist()], b"".join(table.column("n").to_pylist())
+        hs = [_decode(x) for x in table.column("h").to_pylist()]
+        ns = [_loose(x, len(h)) for x, h in zip(table.column("n").to_pylist(), hs)]
         own, back = np.unique(np.concatenate(hs), return_inverse=True)
         count = np.zeros(len(own), np.int64)
-        np.add.at(count, back, np.frombuffer(ns, np.int32))
+        np.add.at(count, back, np.concatenate(ns))
         told = count[back]
         ends = np.cumsum([0, *map(len, hs)])
-        each = [(np.flatnonzero(told[x:y] > 1).astype(np.int32), told[x:y]) for x, y in zip(ends, ends[1:])]
-        found = [pa.array([f(at, n).tobytes() for at, n in each], pa.binary()) for f in (lambda at, n: at, lambda at, n: n[at])]
-        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "at": found[0], "n": found[1]})
+        each = [told[x:y] for x, y in zip(ends, ends[1:])]
+        more, n = pa.array([np.packbits(x > 1).tobytes() for x in each], pa.binary()), pa.array([_tight(x[x > 1]) for x in each], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "more": more, "n": n})
 
     asks = packs.select("chunk", "h").mapInArrow(ask, _ASKED)
-    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, at binary, n binary")
-    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "at", "n")).alias("got"))
+    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, more binary, n binary")
+    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "more", "n")).alias("got"))
     return materialize(got.withColumn("groups", F.lit(groups)), "answers")
 
 
@@ -294,7 +306,8 @@ def _told(h: np.ndarray, got: list | None, groups: int) -> np.ndarray:
     own, back = np.unique(h, return_inverse=True)
     count = np.ones(len(own), np.int64)
     for (_, at), part in zip(_by_group(own, groups), sorted(got or [], key=lambda g: g["group"]), strict=True):
-        count[at.start + np.frombuffer(part["at"], np.int32)] = np.frombuffer(part["n"], np.int64)
+        more = np.flatnonzero(np.unpackbits(np.frombuffer(part["more"], np.uint8), count=at.stop - at.start))
+        count[at.start + more] = _loose(part["n"], len(more))
     return count[back]
 
 
@@ -309,7 +322,7 @@ def _weighed(b: pa.RecordBatch, n: int) -> Iterator[tuple]:
     """Per pack: the first node id, places asked for, hashes, counts' weights by exact frequencies, and ends of all documents."""
     for chunk, at, sizes, blob, tfs, got, groups in _rows(b):
         h = np.frombuffer(blob, np.uint64)
-        w = np.frombuffer(tfs, np.int32) * idf(_told(h, got, groups or 1), n)
+        w = _loose(tfs, len(h)).astype(np.float32) * idf(_told(h, got, groups or 1), n)
         yield chunk << 16, at, h, w.astype(np.float32), np.cumsum([0, *sizes])
 
 
@@ -466,6 +479,11 @@ def _open_pairs(large: DataFrame, label: DataFrame, tested: DataFrame, threshold
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
     """``(_id, _md5, class_id, keep)`` for every row."""
+    with batch_bytes(docs.sparkSession, BATCH):
+        return _classes(docs, id_col, text_col, threshold, bands, rows, small)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
     packs = text_packs(docs, id_col, text_col)
     flat = packs.select("chunk", F.posexplode(F.arrays_zip("l0", "l1")).alias("at", "x"))
     keys = materialize(flat.select("chunk", "at", (F.shiftleft("chunk", 16) + F.col("at")).alias("_row"), F.col("x.l0").alias("_id"), F.col("x.l1").alias("_md5")), "text-keys")
