@@ -9,6 +9,7 @@ Computed doubles are rounded on both sides.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,11 +23,25 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def _twice_rounded(sql: str) -> str:
+    """``round(x, 6)`` as ``round(round(x, 12), 6)``, as ``rounded`` does."""
+    out, opened = [], []
+    for piece in re.split(r"(\bround\(|\(|\))", sql):
+        if piece in ("round(", "("):
+            opened.append(len(out) if piece == "round(" else None)
+        elif piece == ")" and opened:
+            at = opened.pop()
+            if at is not None and out[-1].endswith(", 6"):
+                out[at], out[-1] = "round(round(", out[-1][:-3] + ", 12), 6"
+        out.append(piece)
+    return "".join(out)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         _Q[name] = fn
         if sql:
-            _SQL[name] = sql
+            _SQL[name] = _twice_rounded(sql)
         return fn
 
     return add
@@ -63,8 +78,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; -0 becomes 0."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    """Doubles rounded, to 12 digits first, so that sums in another order do not fall to the other side of a half; -0 becomes 0."""
+    return df.select(*[(F.round(F.round(F.col(c), 12), digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 _M = """WITH x AS (SELECT o_custkey AS cell_id, p_brand AS gene_id, count(*)::DOUBLE AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
