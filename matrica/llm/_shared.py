@@ -38,6 +38,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written while a ``scratch`` is open.
+_made: list[DataFrame] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Yields a list; tables written inside that are not put in it are removed at the end."""
+    start, keep = len(_made), []
+    yield keep
+    kept = {id(k) for k in keep}
+    discard(*(t for t in _made[start:] if id(t) not in kept))
+    _made[start:] = keep
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there,
     the files survive the loss of any executor, and nothing is computed twice."""
@@ -46,6 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._matrica = (path, None)
+    _made.append(out)
     return out
 
 
@@ -57,9 +72,10 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     path, name = fresh_path(spark, name), f"matrica_{uuid.uuid4().hex}"
     n = min(100_000, max(2 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
-    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._matrica, out._buckets = (path, name), n
+    _made.append(out)
     return out
 
 
@@ -67,6 +83,7 @@ def discard(*tables: DataFrame) -> None:
     """Remove what ``materialize`` or ``bucketed`` wrote, once nothing reads it any more."""
     for df in tables:
         spark, (path, name) = df.sparkSession, df._matrica
+        _made[:] = [t for t in _made if t is not df]
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

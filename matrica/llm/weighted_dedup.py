@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.llm._shared import batch_bytes, bucketed, discard, materialize, release
+from matrica.llm._shared import batch_bytes, bucketed, discard, materialize, release, scratch
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
@@ -196,7 +196,7 @@ def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, slice]]:
 
 
 def _code(h: np.ndarray) -> bytes:
-    """Sorted hashes as the bytes of their differences, plane by plane: the high planes are mostly zero and compress."""
+    """Hashes, sorted or sorted in parts, as the bytes of their differences, plane by plane: the high planes are mostly zero and compress."""
     return np.diff(h, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
@@ -225,7 +225,7 @@ def _packed(lists: list, sizes, h: np.ndarray, w: bytes, kinds: list) -> pa.Reco
     """One pack as a batch: lists per document, shingles per document, all hashes, all counts or weights."""
     cols = [pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds)]
     names = [f"l{k}" for k in range(len(lists))] + ["sizes", "h", "w"]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([h.tobytes()], pa.binary()), pa.array([w], pa.binary())], names)
+    return pa.RecordBatch.from_arrays([*cols, pa.array([np.asarray(sizes).tolist()], pa.list_(pa.int32())), pa.array([_code(h)], pa.binary()), pa.array([w], pa.binary())], names)
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -279,7 +279,7 @@ def answers(packs: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in _rows(b):
-                h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
+                h, n = np.unique(_decode(blob), return_counts=True)
                 if len(h):
                     yield _asked([(g, chunk, _code(h[at]), _tight(n[at])) for g, at in _by_group(h, groups)])
 
@@ -321,7 +321,7 @@ def _wanted(packs: DataFrame, told: DataFrame, want: DataFrame) -> DataFrame:
 def _weighed(b: pa.RecordBatch, n: int) -> Iterator[tuple]:
     """Per pack: the first node id, places asked for, hashes, counts' weights by exact frequencies, and ends of all documents."""
     for chunk, at, sizes, blob, tfs, got, groups in _rows(b):
-        h = np.frombuffer(blob, np.uint64)
+        h = _decode(blob)
         w = _loose(tfs, len(h)).astype(np.float32) * idf(_told(h, got, groups or 1), n)
         yield chunk << 16, at, h, w.astype(np.float32), np.cumsum([0, *sizes])
 
@@ -373,7 +373,7 @@ def masses(sets: DataFrame) -> DataFrame:
         for b in batches:
             for ids, sizes, blob, ws, got, groups in _rows(b):
                 w = np.frombuffer(ws, np.float32).astype(np.float64)
-                more = _told(np.frombuffer(blob, np.uint64), got, groups or 1) > 1
+                more = _told(_decode(blob), got, groups or 1) > 1
                 doc = np.repeat(np.arange(len(ids)), sizes)
                 total, common = (np.bincount(doc, x, len(ids)) for x in (w, w * more))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64()), pa.array(common, pa.float64())], ["_id", "total", "common"])
@@ -480,10 +480,16 @@ def _open_pairs(large: DataFrame, label: DataFrame, tested: DataFrame, threshold
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
     """``(_id, _md5, class_id, keep)`` for every row."""
     with batch_bytes(docs.sparkSession, BATCH):
-        return _classes(docs, id_col, text_col, threshold, bands, rows, small)
+        with scratch() as keep:
+            every = _classes(docs, id_col, text_col, threshold, bands, rows, small)
+            keep.append(every)
+    release(docs.sparkSession)
+    kept = every.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row"))["_row"].alias("_kept"))
+    return every.join(kept.select("_kept"), every["_row"] == kept["_kept"], "left").select("_id", "_md5", "class_id", F.col("_kept").isNotNull().alias("keep"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
+    """``(_id, _md5, _row, _class, class_id)`` for every row, written out."""
     packs = text_packs(docs, id_col, text_col)
     flat = packs.select("chunk", F.posexplode(F.arrays_zip("l0", "l1")).alias("at", "x"))
     keys = materialize(flat.select("chunk", "at", (F.shiftleft("chunk", 16) + F.col("at")).alias("_row"), F.col("x.l0").alias("_id"), F.col("x.l1").alias("_md5")), "text-keys")
@@ -527,9 +533,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     rows = keys.join(by_text, "_md5", "left")
     # A null text is its own class, together with rows of the same id and null text.
     rows = rows.select("_id", "_md5", "_row", F.when(F.col("_md5").isNull(), F.struct(F.lit(-1).cast("long").alias("c"), F.col("_id").alias("i"))).otherwise(F.struct(F.col("_class").alias("c"), F.lit(None).cast(keys.schema["_id"].dataType).alias("i"))).alias("_class"), F.when(F.col("_md5").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
-    rows = materialize(rows, "rows")
-    kept = rows.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row"))["_row"].alias("_kept"))
-    return rows.join(kept.select("_kept"), rows["_row"] == kept["_kept"], "left").select("_id", "_md5", "class_id", F.col("_kept").isNotNull().alias("keep"))
+    return materialize(rows, "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
