@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matrica.llm._shared import discard, materialize, table
+from matrica.llm._shared import discard, materialize, scratch, table
 from matrica.llm.queries import stage_byte_bpe, stage_decontamination, stage_near_dedup, stage_quality_classifier, stage_quality_rules
 
 STAGES = [
@@ -23,7 +23,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
         if before is not None:
             discard(before)
         before = docs
