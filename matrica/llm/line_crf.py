@@ -33,6 +33,8 @@ TRAIN_BYTES = 16 << 20
 TRAIN_LINES = 256
 #: Bytes of text whose features are computed together.
 STEP = 2 << 20
+#: The same while fitting, on the driver.
+FIT_STEP = 256 << 10
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _SYMBOL, _BANG, _PUNCT, _LEAD, _TAIL = range(9)
 
@@ -195,7 +197,17 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Chain(0.0, 1.0, np.zeros(1), 0.0, np.zeros((2, 2)), constant=float(y.mean()) if len(y) else 1.0)
-    x, _, per_doc = line_features([t or "" for t in texts])
+    # Features are of documents by themselves; computed a piece at a time, the byte arrays of all texts are never held at once.
+    texts, parts, k = [t or "" for t in texts], [], 0
+    while k < len(texts):
+        j, size = k, 0
+        while j < len(texts) and (size < FIT_STEP or j == k):
+            size += len(texts[j])
+            j += 1
+        parts.append(line_features(texts[k:j]))
+        k = j
+    x, per_doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    del parts
     good = np.repeat(y, per_doc)
     chains = np.concatenate([[*[TRAIN_LINES] * (n // TRAIN_LINES), *([n % TRAIN_LINES] if n % TRAIN_LINES else [])] for n in per_doc]).astype(np.int64)
     mean, std = x.mean(0), np.maximum(x.std(0), 1e-3)
