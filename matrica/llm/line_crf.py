@@ -35,6 +35,8 @@ TRAIN_LINES = 256
 STEP = 2 << 20
 #: The same while fitting, on the driver.
 FIT_STEP = 256 << 10
+#: Places of padded chains worked on together; a longer chain is taken alone.
+CHAIN_STEP = 1 << 16
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _SYMBOL, _BANG, _PUNCT, _LEAD, _TAIL = range(9)
 
@@ -147,8 +149,13 @@ class Chain:
 
 
 def _by_length(per_doc: np.ndarray) -> list[np.ndarray]:
+    """Chains of like lengths, at most ``CHAIN_STEP`` padded places at a time."""
     level = np.ceil(np.log2(np.maximum(per_doc, 1))).astype(int)
-    return [np.flatnonzero(level == k) for k in np.unique(level)]
+    out = []
+    for k in np.unique(level):
+        rows, most = np.flatnonzero(level == k), max(1, CHAIN_STEP >> int(k))
+        out += [rows[i : i + most] for i in range(0, len(rows), most)]
+    return out
 
 
 def _places(per_doc: np.ndarray, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -197,31 +204,38 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Chain(0.0, 1.0, np.zeros(1), 0.0, np.zeros((2, 2)), constant=float(y.mean()) if len(y) else 1.0)
-    # Features are of documents by themselves; computed a piece at a time, the byte arrays of all texts are never held at once.
-    texts, parts, k = [t or "" for t in texts], [], 0
+    # Features are of documents by themselves; computed a piece at a time and kept in four bytes each,
+    # neither the byte arrays of all texts nor two copies of all features are ever held at once.
+    texts, parts, per_doc, k = [t or "" for t in texts], [], [], 0
     while k < len(texts):
         j, size = k, 0
         while j < len(texts) and (size < FIT_STEP or j == k):
             size += len(texts[j])
             j += 1
-        parts.append(line_features(texts[k:j]))
+        x, _, n = line_features(texts[k:j])
+        parts.append(x.astype(np.float32))
+        per_doc.append(n)
         k = j
-    x, per_doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
-    del parts
+    per_doc = np.concatenate(per_doc)
+    lines = int(per_doc.sum())
+    mean = sum(x.sum(0, dtype=float) for x in parts) / lines
+    std = np.maximum(np.sqrt(sum(((x - mean) ** 2).sum(0) for x in parts) / lines), 1e-3)
+    z, k = np.empty((lines, len(mean)), np.float32), 0
+    for at, x in enumerate(parts):
+        z[k : k + len(x)] = np.clip((x - mean) / std, -8, 8)
+        k, parts[at] = k + len(x), None
     good = np.repeat(y, per_doc)
     chains = np.concatenate([[*[TRAIN_LINES] * (n // TRAIN_LINES), *([n % TRAIN_LINES] if n % TRAIN_LINES else [])] for n in per_doc]).astype(np.int64)
-    mean, std = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.clip((x - mean) / std, -8, 8)
     # Each chain counts as one document, however long.
     share = np.repeat(1.0 / chains, chains)
-    groups = [(rows, *_padded(np.zeros(len(z)), chains, rows)) for rows in _by_length(chains)]
+    groups = [(rows, _padded(np.zeros(len(z)), chains, rows)[1]) for rows in _by_length(chains)]
     theta = np.zeros(z.shape[1] + 1 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, b, step = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        u = z @ w + b
+        u = (z @ w.astype(np.float32)).astype(float) + b
         miss, pairs = np.empty(len(u)), np.zeros((2, 2))
-        for rows, _, mask in groups:
+        for rows, mask in groups:
             at = _places(chains, rows, mask)
             pad = np.zeros(mask.shape)
             pad[mask] = u[at]
@@ -232,7 +246,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
             seen = np.zeros((2, 2))
             np.add.at(seen, (g[:, :-1][mask[:, 1:]], g[:, 1:][mask[:, 1:]]), 1)
             pairs += seen - expected
-        grad = np.concatenate([z.T @ (miss * share), [(miss * share).sum()], pairs.ravel() * share.mean()]) / len(chains) * 10 - shrink * theta
+        grad = np.concatenate([(miss * share).astype(np.float32) @ z, [(miss * share).sum()], pairs.ravel() * share.mean()]) / len(chains) * 10 - shrink * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 if t < rounds * 0.6 else 0.3)
