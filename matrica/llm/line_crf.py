@@ -32,7 +32,7 @@ TRAIN_BYTES = 16 << 20
 #: Longer training documents are cut into chains of so many lines.
 TRAIN_LINES = 256
 #: Bytes of text whose features are computed together.
-STEP = 2 << 20
+STEP = 512 << 10
 #: The same while fitting, on the driver.
 FIT_STEP = 256 << 10
 #: Places of padded chains worked on together; a longer chain is taken alone.
@@ -42,7 +42,7 @@ _LOWER, _UPPER, _DIGIT, _SPACE, _SYMBOL, _BANG, _PUNCT, _LEAD, _TAIL = range(9)
 
 
 def _classes() -> np.ndarray:
-    t = np.full(256, _PUNCT, np.int64)
+    t = np.full(256, _PUNCT, np.uint8)
     t[ord("a") : ord("z") + 1] = _LOWER
     t[ord("A") : ord("Z") + 1] = _UPPER
     t[ord("0") : ord("9") + 1] = _DIGIT
@@ -85,15 +85,17 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     size = breaks - start
     lines = len(breaks)
     doc = np.repeat(np.arange(len(texts)), per_doc)
-    of = np.repeat(np.arange(lines), size + 1)
+    of = np.repeat(np.arange(lines, dtype=np.int32), size + 1)
     kind = _CLASS[raw]
-    count = np.bincount(of * 9 + kind, minlength=lines * 9).reshape(lines, 9).astype(np.float64)
+    count = np.stack([np.add.reduceat(kind == c, start, dtype=np.int64) for c in range(9)], 1).astype(np.float64)
     count[:, _SPACE] -= 1  # its own break
 
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[raw] * _powers(n), dtype=np.uint64)])
+        prefix = np.zeros(n + 1, np.uint64)
+        np.multiply(_MIX[raw], _powers(n), out=prefix[1:])
+        np.cumsum(prefix[1:], out=prefix[1:])
     solid = kind != _SPACE
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     word_line = of[w0]
     words = np.bincount(word_line, minlength=lines).astype(np.float64)

@@ -94,8 +94,10 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(size)
     n = len(raw)
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIXED[raw] * _pow(_BASE, n), dtype=np.uint64)])
-        edge = np.diff(np.concatenate([[0], _INWORD[raw].view(np.int8), [0]]))
+        prefix = np.zeros(n + 1, np.uint64)
+        np.multiply(_MIXED[raw], _pow(_BASE, n), out=prefix[1:])
+        np.cumsum(prefix[1:], out=prefix[1:])
+        edge = np.diff(_INWORD[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
         w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         h = _mix((prefix[w1] - prefix[w0]) * _pow(_INVERSE, n)[w0])
         doc = np.searchsorted(ends, w0, "right")
