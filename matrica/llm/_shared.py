@@ -113,6 +113,23 @@ def release(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+#: What operators keep in this Python worker, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps for its next tasks in this Python worker.
+
+    Workers outlive stages and are used by all of them, so what other
+    operators kept is dropped: a worker holds the tables of one at a time.
+    """
+    if any(v for k, v in _kept.items() if k != owner):
+        for k in [k for k in _kept if k != owner]:
+            del _kept[k]
+        gc.collect()
+    return _kept.setdefault(owner, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matrica.llm._shared import kept
+
 #: Segments and token pairs kept by one Python worker.
 CACHE = 600_000
 PAIRS = 400_000
@@ -314,16 +316,13 @@ class Codec:
         return h.hexdigest()
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def _codec(blob: bytes, pattern: str) -> Codec:
-    """One codec for a worker's whole life."""
-    key = (hash(blob), pattern)
-    if key not in _codecs:
+    """One codec for all tasks of a worker, until another operator starts in it."""
+    mine, key = kept("byte_bpe"), (hash(blob), pattern)
+    if key not in mine:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line.strip())}
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+        mine[key] = Codec(ranks, pattern)
+    return mine[key]
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

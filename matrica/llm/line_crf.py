@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrica.llm._shared import kept
+
 #: Labelled documents a model is fitted on at most; the least by hash of their id.
 TRAIN_DOCS = 3000
 #: Bytes of text of them at most: in hash order, whole documents that still fit.
@@ -305,6 +307,7 @@ def score_documents(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
     """``(id, score)`` in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_crf")
         for big in batches:
             for k in range(0, big.num_rows, 1024):
                 b = big.slice(k, 1024)
@@ -318,6 +321,7 @@ def keep_good(docs: DataFrame, model: Chain, text_col: str = "text", least: floa
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_crf")
         for big in batches:
             for k in range(0, big.num_rows, 1024):
                 b = big.slice(k, 1024)

@@ -42,13 +42,14 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrica.llm._shared import batch_bytes, bucketed, discard, materialize, release, scratch
+from matrica.llm._shared import batch_bytes, bucketed, discard, kept, materialize, release, scratch
 
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
@@ -58,6 +59,8 @@ SMALL = 12
 _STEP = 1 << 20
 #: Shingles to a range of the exact count, and documents to a pack at most.
 GROUP, PACKED = 1 << 20, 1 << 16
+#: Parts of the hash ranges that are counted one after the other; only one part's hashes lie in shuffle files at a time.
+TURNS = 3
 #: Bytes of packs or sets sent to a Python worker at once.
 BATCH = 8 << 20
 
@@ -189,9 +192,14 @@ class Sampler:
         return out
 
 
+def _group(h: np.ndarray, groups: int) -> np.ndarray:
+    """The hash range each hash is in."""
+    return ((h >> _U(32)) * _U(groups) >> _U(32)).astype(np.int32)
+
+
 def _by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, slice]]:
     """``(group, place)`` of the hash ranges that some of the sorted hashes are in, ascending."""
-    group = ((h >> _U(32)) * _U(groups) >> _U(32)).astype(np.int32)
+    group = _group(h, groups)
     at = np.flatnonzero(np.diff(group, prepend=-1))
     for x, y in zip(at, [*at[1:], len(h)]):
         yield int(group[x]), slice(x, y)
@@ -240,6 +248,7 @@ def text_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kept("weighted_dedup")
             kinds = [b.column(0).type, pa.string()]
             rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
             for part, texts in _chunks(rows, [t or "" for t in b.column(1).to_pylist()]):
@@ -278,10 +287,11 @@ def answers(packs: DataFrame) -> DataFrame:
     total = packs.agg(F.sum(F.octet_length("h"))).first()[0] or 0
     groups = max(32, total // 8 // GROUP + 1)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in _rows(b):
-                h, n = np.unique(_decode(blob), return_counts=True)
+                h = _decode(blob)
+                h, n = np.unique(h[_group(h, groups) % TURNS == turn], return_counts=True)
                 if len(h):
                     yield _asked([(g, chunk, _code(h[at]), _tight(n[at])) for g, at in _by_group(h, groups)])
 
@@ -297,10 +307,17 @@ def answers(packs: DataFrame) -> DataFrame:
         more, n = pa.array([np.packbits(x > 1).tobytes() for x in each], pa.binary()), pa.array([_tight(x[x > 1]) for x in each], pa.binary())
         return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "more": more, "n": n})
 
-    asks = packs.select("chunk", "h").mapInArrow(ask, _ASKED)
-    back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, more binary, n binary")
-    got = back.groupBy("chunk").agg(F.collect_list(F.struct("group", "more", "n")).alias("got"))
-    return materialize(got.withColumn("groups", F.lit(groups)), "answers")
+    parts = []
+    for turn in range(TURNS):
+        asks = packs.select("chunk", "h").mapInArrow(partial(ask, turn), _ASKED)
+        back = asks.groupBy("group").applyInArrow(answer, "chunk bigint, group int, more binary, n binary")
+        parts.append(materialize(back, "some-answers"))
+        del asks, back
+        release(packs.sparkSession)
+    got = reduce(DataFrame.unionByName, parts).groupBy("chunk").agg(F.collect_list(F.struct("group", "more", "n")).alias("got"))
+    told = materialize(got.withColumn("groups", F.lit(groups)), "answers")
+    discard(*parts)
+    return told
 
 
 def _told(h: np.ndarray, got: list | None, groups: int) -> np.ndarray:
