@@ -91,15 +91,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def batch_bytes(spark: SparkSession, most: int):
-    """Arrow batches of at most so many bytes for what is run inside; rows that are large by themselves go one by one."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before.rstrip("b")) if before.rstrip("b").isdigit() else most)))
+def batch_bytes(spark: SparkSession, most: int, rows: int = 8):
+    """For what is run inside: Arrow batches of at most so many bytes, and Parquet
+    batches of so many rows, as rows may be of a megabyte each; rows that are
+    large by themselves go one by one."""
+    key, read = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {k: spark.conf.get(k) for k in (key, read)}
+    now = before[key].rstrip("b")
+    spark.conf.set(key, str(min(most, int(now) if now.isdigit() else most)))
+    spark.conf.set(read, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def release(spark: SparkSession) -> None:

@@ -62,7 +62,7 @@ GROUP, PACKED = 1 << 20, 1 << 16
 #: Parts of the hash ranges that are counted one after the other; only one part's hashes lie in shuffle files at a time.
 TURNS = 3
 #: Bytes of packs or sets sent to a Python worker at once.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 _U = np.uint64
 _MIXED = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
