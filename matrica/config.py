@@ -48,3 +48,32 @@ class AnalysisConfig:
         known = {f.name for f in fields(cls)}
         got = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(Path(path).read_text()).items() if k in known}
         return cls(**got)
+
+
+#: What each setting means, as written into the template.
+NOTES = {
+    "clustering_methods": "tried by the unsupervised arm",
+    "classifiers": "tried by the supervised arm",
+    "resolutions": "of the community search",
+    "n_neighbors": "in the neighbour graph",
+    "confusion_neighbors": "a label is compared with",
+    "n_pca_components": "unless auto_components chooses",
+    "auto_components": "null, gavish_donoho or marchenko_pastur",
+    "cv_folds": "of the cross-validation",
+    "test_size": "share held out",
+    "bootstrap_ci": "intervals for metrics",
+    "n_bootstrap": "draws for an interval",
+    "scoring": "weighted, borda or pareto",
+    "adaptive_resolution": "refine the best resolution",
+    "random_state": "seed of everything",
+}
+
+
+def write_template(path: str) -> None:
+    """The defaults with a note for each; notes are unknown keys, which ``load`` leaves out."""
+    body = {}
+    for k, v in asdict(AnalysisConfig()).items():
+        body[f"# {k}"] = NOTES[k]
+        body[k] = v
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(body, indent=2))

@@ -90,6 +90,15 @@ def run_pca(frame: CellFrame, n_comps: int = 50, variance_threshold: float | Non
     return frame.with_obsm(key_added, rep).record("pca", n_comps=k), got
 
 
+def representation(frame: CellFrame, basis: str = "X_pca", n_comps: int = 50, layer: str | None = None) -> DataFrame:
+    """``(cell_id, vec)``: the stored embedding, or components that are not stored; another name that is absent is an error."""
+    if basis in frame.obsm:
+        return frame.obsm[basis]
+    if basis != "X_pca":
+        raise KeyError(f"no embedding {basis!r}; have {sorted(frame.obsm)}")
+    return run_pca(frame, n_comps, layer=layer)[0].obsm["X_pca"]
+
+
 def gavish_donoho(sv: np.ndarray, n: int, p: int) -> int:
     """Singular values above omega(beta) times their median; 1 at least."""
     beta = min(n, p) / max(n, p)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from matrica.frame import CellFrame, from_long
 from matrica.functions import ranks
-from matrica.operators import batch, classification, clustering, contingency, diagnostics, embeddings, feature_selection, layouts, neighbors, quality, resampling, summary, tests_de, transforms
+from matrica.operators import batch, classification, clustering, comparison, contingency, density, diagnostics, embeddings, feature_selection, layouts, neighbors, plot_tables, quality, resampling, summary, tests_de, transforms
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -729,6 +729,103 @@ def _(s, d):
     return layouts.spectral_clustering(points(s, d), 5)
 
 
+# --- tables behind figures --------------------------------------------------------------
+
+
+@query("plot_flows", _E + " SELECT cluster, label, count(*) AS n FROM e GROUP BY 1, 2")
+def _(s, d):
+    return plot_tables.flows(points(s, d), "cluster", "label")
+
+
+@query("plot_gene_quartiles", _M + ' SELECT gene_id, batch AS "group", count(*) AS n, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high FROM grid JOIN obs USING (cell_id) GROUP BY 1, 2')
+def _(s, d):
+    f = frame(s, d)
+    return rounded(plot_tables.gene_quartiles(f, [r[0] for r in f.var.select("gene_id").collect()], "batch"))
+
+
+@query("plot_histograms", _M + ", g AS (SELECT gene_id, value FROM grid WHERE gene_id IN (SELECT gene_id FROM var ORDER BY gene_id LIMIT 5)), r AS (SELECT gene_id, min(value) - CASE WHEN min(value) = max(value) THEN 0.5 ELSE 0 END AS lo, max(value) + CASE WHEN min(value) = max(value) THEN 0.5 ELSE 0 END AS hi FROM g GROUP BY 1), b AS (SELECT gene_id, lo, hi, least(floor((value - lo) / (hi - lo) * 30), 29)::INT AS bin FROM g JOIN r USING (gene_id)) SELECT gene_id, bin, round(lo + bin * (hi - lo) / 30, 6) AS lower, count(*) AS n FROM b GROUP BY gene_id, bin, lo, hi")
+def _(s, d):
+    return rounded(plot_tables.histograms(frame(s, d)))
+
+
+@query("plot_metric_correlation", "WITH m AS (SELECT c_nationkey, avg(c_acctbal)::DOUBLE AS x, avg(c_custkey)::DOUBLE AS y FROM customer GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM m) SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM r")
+def _(s, d):
+    m = t(s, d, "customer").groupBy("c_nationkey").agg(F.avg(F.col("c_acctbal").cast("double")).alias("x"), F.avg("c_custkey").alias("y"))
+    return rounded(plot_tables.metric_correlation(m, "x", "y"))
+
+
+@query("plot_ma", _MO + " SELECT gene_id, round((m1 + m2) / 2, 6) AS mean, round(log2((m1 + 0.01) / (m2 + 0.01)), 6) AS log2fc FROM p")
+def _(s, d):
+    w = tests_de.welch(frame(s, d), "condition", "pos", "neg").select("gene_id", ((F.col("mean1") + F.col("mean2")) / 2).alias("m"), tests_de.log2fc(F.col("mean1"), F.col("mean2"), 0.01).alias("log2fc"))
+    return rounded(plot_tables.ma_table(w, "m"))
+
+
+@query("plot_metric_rows", "SELECT n_name AS method, 'n_nationkey' AS metric, n_nationkey::DOUBLE AS value FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey::DOUBLE FROM nation")
+def _(s, d):
+    return plot_tables.metric_rows(t(s, d, "nation").select(F.col("n_name").alias("method"), "n_nationkey", "n_regionkey"))
+
+
+@query("plot_benchmark_bars", "SELECT (row_number() OVER (ORDER BY n_regionkey DESC, n_name))::INT AS position, n_name AS method, n_regionkey AS ari, n_nationkey AS ami FROM nation")
+def _(s, d):
+    return plot_tables.benchmark_bars(t(s, d, "nation").select(F.col("n_name").alias("method"), F.col("n_regionkey").alias("ari"), F.col("n_nationkey").alias("ami")))
+
+
+@query("plot_model_by_space", "SELECT model, " + ", ".join(f"round(avg(q) FILTER (WHERE space = '{v}'), 6) AS \"{v}_mean\", round(stddev_samp(q) FILTER (WHERE space = '{v}'), 6) AS \"{v}_sd\", round(stddev_samp(q) FILTER (WHERE space = '{v}') / sqrt(count(*) FILTER (WHERE space = '{v}')), 6) AS \"{v}_se\"" for v in "FO") + " FROM (SELECT l_returnflag AS model, l_linestatus AS space, l_quantity::DOUBLE AS q FROM lineitem) GROUP BY 1")
+def _(s, d):
+    li = t(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("space"), F.col("l_quantity").cast("double").alias("accuracy"))
+    return rounded(plot_tables.model_by_space(li, spaces=["F", "O"]))
+
+
+@query("plot_compare_bases", _E + " SELECT cell_id, round(vec[1], 6) AS c1, round(vec[2], 6) AS c2, label AS colour, 'a' AS basis FROM e UNION ALL SELECT cell_id, round(vec[3], 6), round(vec[4], 6), label, 'b' FROM e")
+def _(s, d):
+    p = points(s, d)
+    f = CellFrame(p, p.select("cell_id", "label"), p, {"a": p.select("cell_id", "vec"), "b": p.select("cell_id", F.slice("vec", 3, 2).alias("vec"))})
+    return rounded(plot_tables.compare_bases(f, ["a", "b"], "label"))
+
+
+# --- methods against each other ---------------------------------------------------------
+
+
+def _verdicts(p: DataFrame) -> DataFrame:
+    """Three methods that fail on different cells."""
+    arr = F.array(*[F.struct(F.lit(f"m{k}").alias("method"), F.when(F.pmod(F.col("cell_id") + k, F.lit(k + 3)) == 0, F.lit("none")).otherwise(F.col("label")).alias("pred")) for k in (1, 2, 3)])
+    return p.select("cell_id", F.explode(arr).alias("e")).select("cell_id", "e.method", "e.pred")
+
+
+@query("method_pairs", _E + ", p AS (SELECT cell_id, 'm' || k AS method, (cell_id + k) % (k + 3) <> 0 AS ok FROM e CROSS JOIN (VALUES (1), (2), (3)) v(k)) SELECT x.method AS a, y.method AS b, count(*) AS n, sum((x.ok AND NOT y.ok)::INT)::BIGINT AS only_a, sum((y.ok AND NOT x.ok)::INT)::BIGINT AS only_b, round((sum((x.ok AND NOT y.ok)::INT) - sum((y.ok AND NOT x.ok)::INT))::DOUBLE / count(*), 6) AS diff FROM p x JOIN p y ON x.cell_id = y.cell_id AND x.method < y.method GROUP BY 1, 2")
+def _(s, d):
+    p = points(s, d)
+    return rounded(comparison.method_pairs(_verdicts(p), p.select("cell_id", F.col("label").alias("true"))))
+
+
+@query("nvi", _E + ", a AS (SELECT k AS resolution, cell_id, (cell_id % (k + 2)) AS c FROM e CROSS JOIN (VALUES (1), (2), (4), (8)) v(k)), s AS (SELECT resolution, lead(resolution) OVER (ORDER BY resolution) AS nx FROM (SELECT DISTINCT resolution FROM a)), c AS (SELECT x.resolution, nx, x.c AS ca, y.c AS cb, count(*)::DOUBLE AS k FROM s JOIN a x USING (resolution) JOIN a y ON y.resolution = nx AND y.cell_id = x.cell_id GROUP BY 1, 2, 3, 4), w AS (SELECT *, sum(k) OVER (PARTITION BY resolution) AS n, sum(k) OVER (PARTITION BY resolution, ca) AS ka, sum(k) OVER (PARTITION BY resolution, cb) AS kb FROM c), v AS (SELECT resolution, nx, greatest(0, sum(k / n * (ln(ka / k) + ln(kb / k)))) AS vi, max(n) AS n FROM w GROUP BY 1, 2) SELECT resolution::DOUBLE AS resolution, nx::DOUBLE AS next_resolution, round(vi, 6) AS vi, round(vi / ln(n), 6) AS nvi FROM v")
+def _(s, d):
+    ks = F.array(*[F.lit(k) for k in (1, 2, 4, 8)])
+    a = points(s, d).select("cell_id", F.explode(ks).alias("k")).select(F.col("k").cast("double").alias("resolution"), "cell_id", (F.col("cell_id") % (F.col("k") + 2)).cast("string").alias("cluster"))
+    return rounded(comparison.nvi(a))
+
+
+@query("compare_classifiers")
+def _(s, d):
+    p = points(s, d)
+    return comparison.compare_classifiers(_verdicts(p), p.select("cell_id", F.col("label").alias("true")), "permutation")
+
+
+@query("bootstrap_agreement")
+def _(s, d):
+    return rounded(comparison.bootstrap_agreement(points(s, d), "label", "cluster", 500))
+
+
+@query("hdbscan")
+def _(s, d):
+    return density.hdbscan(points(s, d), 5)
+
+
+@query("patients_by_type")
+def _(s, d):
+    return density.patients_by_type(summary.pseudobulk(frame(s, d), "sample", "label", "median").select(F.col("sample").alias("patient"), "type", "gene_id", "value"))
+
+
 # --- streaming extension --------------------------------------------------------------
 
 

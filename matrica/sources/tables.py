@@ -50,6 +50,16 @@ def load(spark: SparkSession, path: str, **kw) -> CellFrame:
     raise ValueError(f"unknown format: {end}")
 
 
+def read_modalities(spark: SparkSession, path: str, names: list[str]) -> dict[str, CellFrame]:
+    """Frames of one multi-modal folder, one sub-folder each."""
+    return {n: read_cells(spark, f"{path}/{n}") for n in names}
+
+
+def load_modality(spark: SparkSession, path: str, modality: str | None = None, **kw) -> CellFrame:
+    """``load``, or the named sub-folder of a multi-modal folder."""
+    return load(spark, path, **kw) if modality is None else read_cells(spark, f"{path}/{modality}")
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
