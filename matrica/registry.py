@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from matrica.frame import CellFrame, from_long
 from matrica.functions import ranks
 from matrica.operators import batch, classification, clustering, comparison, contingency, density, diagnostics, embeddings, feature_selection, layouts, neighbors, plot_tables, quality, resampling, summary, tests_de, transforms
+from matrica.plans import benchmarks
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -826,6 +827,41 @@ def _(s, d):
     return density.patients_by_type(summary.pseudobulk(frame(s, d), "sample", "label", "median").select(F.col("sample").alias("patient"), "type", "gene_id", "value"))
 
 
+# --- runners ------------------------------------------------------------------------------
+
+
+@query("reduced_frame", _M + " SELECT cell_id, gene_id, value FROM x WHERE gene_id IN (SELECT gene_id FROM var ORDER BY gene_id DESC LIMIT 3)")
+def _(s, d):
+    f = frame(s, d)
+    return benchmarks.reduced(f, [r[0] for r in f.var.orderBy(F.desc("gene_id")).limit(3).collect()]).x.select("cell_id", "gene_id", "value")
+
+
+@query("dense_vectors", _M + " SELECT cell_id, label, (row_number() OVER (PARTITION BY cell_id ORDER BY gene_id) - 1)::INT AS j, value FROM grid JOIN obs USING (cell_id)")
+def _(s, d):
+    return benchmarks.vectors(frame(s, d), "label").select("cell_id", "label", F.posexplode("vec").alias("j", "value"))
+
+
+@query("bio_conservation", _E + ", m AS (SELECT a.cell_id, a.label AS own, b.label, sum(list_distance(a.vec, b.vec)) AS s, count(*) AS n FROM e a JOIN e b ON a.cell_id <> b.cell_id GROUP BY 1, 2, 3), o AS (SELECT e.cell_id, (SELECT count(*) FROM e f WHERE f.label = e.label) AS size FROM e), w AS (SELECT cell_id, max(CASE WHEN label = own THEN s / n END) AS a, min(CASE WHEN label <> own THEN s / n END) AS b FROM m GROUP BY 1) SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS bio_conservation FROM w JOIN o USING (cell_id)")
+def _(s, d):
+    return s.createDataFrame([(round(round(benchmarks.bio_conservation(points(s, d)), 12), 6),)], "bio_conservation double")
+
+
+@query("benchmark_de")
+def _(s, d):
+    return benchmarks.benchmark_de(frame(s, d), "condition", "neg", "pos")
+
+
+@query("benchmark_batch")
+def _(s, d):
+    return rounded(benchmarks.benchmark_batch(points(s, d)))
+
+
+@query("validate_reduced")
+def _(s, d):
+    f = frame(s, d)
+    return rounded(benchmarks.validate_reduced(f, [r[0] for r in f.var.orderBy("gene_id").limit(10).collect()], "label", "LDA"))
+
+
 # --- streaming extension --------------------------------------------------------------
 
 
