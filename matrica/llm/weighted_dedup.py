@@ -12,8 +12,12 @@ are exact and over all documents: every pack asks, per hash range, for the
 frequencies of its hashes and says how many of its documents have each; ranges
 are added up in tasks of their own, and the answers, mostly ones, go back.
 Packs are a table bucketed by pack, so only the answers move.  Frequencies are
-divided by the number of documents, so weights mean the same at every size;
-samples, verdicts and bounds all use these weights.
+divided by the number of documents, and shingles in one of ``RARE`` documents
+or fewer weigh alike: else what an edit adds would weigh more the larger the
+table is, and what a group of copies shares, as every copy counts, ever less
+beside it.  From that size on a group's verdicts depend on its share of the
+table, not on the table's size; above one document in ``RARE`` copies still
+lower the weight of what they share.  Samples, verdicts and bounds all use these weights.
 
 Groups: exact copies are folded first and only one of them is sampled.  A
 small bucket of a band gives all pairs.  For the members of larger buckets the
@@ -54,6 +58,8 @@ from matrica.llm._shared import batch_bytes, bucketed, discard, kept, materializ
 NGRAM, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold is missed with probability (1 - 0.8**4)**14 = 0.0006.
 BANDS, ROWS = 14, 4
+#: Shingles in one of so many documents or fewer are equally rare.
+RARE = 500
 #: Buckets up to this size give all pairs.
 SMALL = 12
 _STEP = 1 << 20
@@ -148,8 +154,8 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n/df), as 32-bit floats."""
-    return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
+    """ln(1 + n/df), n/df at most ``RARE``, as 32-bit floats."""
+    return np.log1p(np.minimum(max(n, 1) / np.maximum(df, 1), RARE)).astype(np.float32)
 
 
 class Sampler:

@@ -299,6 +299,18 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sum(got[i] == find(i) for i in got) >= 0.99 * len(texts) and all(find(i) == find(got[i]) for i in got)
 
 
+def test_near_duplicates_in_a_group_of_copies(spark):
+    """Copies at 0.81 without weights stay one class, though all of them count in the frequencies of what they share."""
+    base = words(100, 1, 10**9).split()
+    texts = [" ".join(f"edit{k}" if i == 5 + 5 * k else w for i, w in enumerate(base)) for k in range(18)]
+    texts += [words(20, 100 + i, 10**9) for i in range(9000)]
+    d, h, _ = weighted_dedup.shingles(texts[:2])
+    a, b = set(h[d == 0].tolist()), set(h[d == 1].tolist())
+    assert weighted_dedup.THRESHOLD <= len(a & b) / len(a | b) < 0.82
+    got = {r["doc_id"]: r["class_id"] for r in weighted_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert {got[i] for i in range(18)} == {0} and all(got[i] == i for i in range(18, len(texts)))
+
+
 def test_near_duplicates_repeated_and_null_ids(spark):
     a, b = words(60, 1, 10**6), words(60, 2, 10**6)
     rows = [("1", a), ("1", a), ("1", b), ("2", b), (None, a), (None, words(60, 3, 10**6)), (None, None), ("3", None), ("3", None), ("4", None)]
