@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrica.frame import CellFrame
+from matrica.operators import neighbors
 from matrica.operators.layouts import _squared, _table
 from matrica.operators.tests_de import moments
 
 #: Points whose embedding may be corrected on the driver (a points by components matrix).
 MAX_CELLS = 200_000
-#: Points of two batches whose mutual neighbours are looked for in blocks.
-BLOCK = 2000
 
 
 def combat(frame: CellFrame, batch_col: str, layer: str | None = None, key_added: str = "combat") -> CellFrame:
@@ -97,37 +97,53 @@ def harmony(points: DataFrame, theta: float = 2.0, sigma: float = 0.1, ridge: fl
     return _table(points, ids, out)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    found = []
-    for s in range(0, len(a), BLOCK):
-        part = a[s : s + BLOCK]
-        d = (part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T
-        found.append(np.argsort(d, 1, kind="stable")[:, :k])
-    return np.concatenate(found)
-
-
 def mutual_neighbours(points: DataFrame, k: int = 20, bandwidth: float = 15.0) -> DataFrame:
-    """``(cell_id, vec)``: batches are added from the largest on, each shifted by the smoothed differences of its mutual neighbours."""
-    ids, z, batch = _with_batches(points)
-    unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    names, counts = np.unique(batch, return_counts=True)
-    order = [names[i] for i in np.lexsort((names, -counts))]
-    out, done = unit.copy(), np.flatnonzero(batch == order[0])
-    for name in order[1:]:
-        new = np.flatnonzero(batch == name)
-        a, b = out[new], out[done]
-        there, back = _nearest(a, b, min(k, len(b))), _nearest(b, a, min(k, len(a)))
-        pairs = {(i, int(j)) for i in range(len(a)) for j in there[i]} & {(int(i), j) for j in range(len(b)) for i in back[j]}
-        if pairs:
-            i, j = np.array(sorted(pairs)).T
-            gap = b[j] - a[i]
-            for s in range(0, len(a), BLOCK):
-                part = a[s : s + BLOCK]
-                d = np.maximum((part**2).sum(1)[:, None] + (a[i] ** 2).sum(1)[None, :] - 2 * part @ a[i].T, 0)
-                w = np.exp(-0.5 * bandwidth * (d - d.min(1, keepdims=True)))
-                out[new[s : s + BLOCK]] += w @ gap / w.sum(1, keepdims=True)
-        done = np.concatenate([done, new])
-    return _table(points, ids, out)
+    """``(cell_id, vec)``: batches are added from the largest on, each shifted by the smoothed differences of its mutual neighbours.
+
+    Neighbours, differences and their smoothing stay in Spark; ids must be
+    integers.  Differences of one point are summed first, so that a point is
+    smoothed over the points that have mutual neighbours, not over the pairs.
+    """
+    kind, width = dict(points.dtypes)["cell_id"], points.agg(F.max(F.size("vec"))).first()[0]
+    norm = F.greatest(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-12))
+    unit = points.select(F.col("cell_id").cast("long"), F.transform("vec", lambda x: x / norm).alias("vec"), F.col("batch").cast("string").alias("batch")).persist()
+    sizes = {r["batch"]: r["count"] for r in unit.groupBy("batch").count().collect()}
+    done = None
+    for name in sorted(sizes, key=lambda b: (-sizes[b], b)):
+        new = unit.where(F.col("batch") == name).select("cell_id", "vec")
+        if done is not None:
+            new = _shifted(new, done, sizes[name], width, k, bandwidth).persist()
+        done = new if done is None else done.unionByName(new)
+    return done.select(F.col("cell_id").cast(kind), "vec")
+
+
+def _shifted(new: DataFrame, done: DataFrame, size: int, width: int, k: int, bandwidth: float) -> DataFrame:
+    there = neighbors.knn(new, k, True, done).select(F.col("src").alias("i"), F.col("dst").alias("j"))
+    back = neighbors.knn(done, k, True, new).select(F.col("dst").alias("i"), F.col("src").alias("j"))
+    pairs = there.join(back, ["i", "j"]).join(done.select(F.col("cell_id").alias("j"), "vec"), "j")
+    sums = pairs.groupBy("i").agg(F.count(F.lit(1)).cast("double").alias("m"), F.array(*[F.sum(F.col("vec")[t]) for t in range(width)]).alias("s"))
+    gaps = new.join(sums, new["cell_id"] == sums["i"]).select(F.col("i").alias("key"), F.concat("vec", F.zip_with("s", "vec", lambda x, y: x - F.col("m") * y), F.array("m")).alias("vec"))
+    sent = neighbors.sent_blocks(gaps)
+    if not sent:
+        return new
+
+    def run(batches):
+        for table, q in neighbors.gathered(batches):
+            top, total, weight = np.full(len(q), -np.inf), np.zeros_like(q), np.zeros(len(q))
+            for _, r in neighbors.each(sent):
+                gap = r[:, width:]
+                for s, t, d in neighbors.tiles(q, r[:, :width]):
+                    e, at = -0.5 * bandwidth * np.maximum(d, 0), slice(s, s + len(d))
+                    high = np.maximum(top[at], e.max(1))
+                    e, fade = np.exp(e - high[:, None]), np.exp(top[at] - high)
+                    got = e @ gap[t : t + d.shape[1]]
+                    total[at] = total[at] * fade[:, None] + got[:, :-1]
+                    weight[at] = weight[at] * fade + got[:, -1]
+                    top[at] = high
+            out = q + total / weight[:, None]
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), out.ravel())], ["cell_id", "vec"])
+
+    return neighbors.dealt(new, size, width).mapInArrow(run, "cell_id bigint, vec array<double>")
 
 
 def component_regression(points: DataFrame) -> DataFrame:

@@ -92,3 +92,22 @@ def test_trustworthiness_by_ranks(spark, tiny):
     finally:
         neighbors.knn = knn
     assert max(seen) == k  # no table of all pairs
+
+
+def test_mutual_neighbours_by_hand_and_driver_memory(spark):
+    from matrica.operators import batch
+
+    n, k, width = 2400, 10, 15.0
+    x = cloud(n, 6)
+    got = {}
+    run = lambda: got.update({r["cell_id"]: r["vec"] for r in batch.mutual_neighbours(table(spark, x, batch=["a" if i % 5 < 3 else "b" for i in range(n)]), k, width).collect()})
+    assert peak_mb(run) < 40
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, two = np.flatnonzero(np.arange(n) % 5 < 3), np.flatnonzero(np.arange(n) % 5 >= 3)
+    there, back = brute(u[two], u[one], k, False)[0], brute(u[one], u[two], k, False)[0]
+    pairs = [(i, j) for i in range(len(two)) for j in there[i] if i in back[j]]
+    i, j = np.array(pairs).T
+    for c in range(0, len(two), 97):
+        w = np.exp(-0.5 * width * ((u[two[c]] - u[two[i]]) ** 2).sum(1))
+        assert np.allclose(got[two[c]], u[two[c]] + (w[:, None] * (u[one[j]] - u[two[i]])).sum(0) / w.sum(), atol=1e-9)
+    assert np.allclose(got[one[5]], u[one[5]])
