@@ -111,3 +111,14 @@ def test_mutual_neighbours_by_hand_and_driver_memory(spark):
         w = np.exp(-0.5 * width * ((u[two[c]] - u[two[i]]) ** 2).sum(1))
         assert np.allclose(got[two[c]], u[two[c]] + (w[:, None] * (u[one[j]] - u[two[i]])).sum(0) / w.sum(), atol=1e-9)
     assert np.allclose(got[one[5]], u[one[5]])
+
+
+def test_harmony_on_driver_and_in_spark(spark, monkeypatch):
+    from matrica.operators import batch
+
+    monkeypatch.setattr(batch, "MAX_CELLS", 100)
+    p = table(spark, cloud(150), batch=["ab"[i % 2] for i in range(150)])
+    few = {r["cell_id"]: r["vec"] for r in batch.harmony(p, rounds=2).collect()}
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 1000)
+    many = {r["cell_id"]: r["vec"] for r in batch.harmony(p, rounds=2).collect()}
+    assert all(np.allclose(few[i], many[i], atol=1e-9) for i in range(150))
