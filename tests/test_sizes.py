@@ -122,3 +122,24 @@ def test_harmony_on_driver_and_in_spark(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK_BYTES", 1000)
     many = {r["cell_id"]: r["vec"] for r in batch.harmony(p, rounds=2).collect()}
     assert all(np.allclose(few[i], many[i], atol=1e-9) for i in range(150))
+
+
+@pytest.mark.parametrize("name", ["diffusion_map", "spectral_clustering", "tsne", "umap", "force_directed"])
+def test_layouts_above_the_square_matrix(spark, monkeypatch, name):
+    """The form for many points gives what the square matrices give."""
+    from matrica.operators import layouts
+
+    x = cloud(150, 4)
+    x[75:, 0] += 8 * (name == "spectral_clustering")
+    p = table(spark, x)
+    more = {"spectral_clustering": {"k": 2}, "tsne": {"rounds": 6}, "umap": {"rounds": 2}, "force_directed": {"rounds": 4}}.get(name, {"n_comps": 5})
+    run = lambda: {r["cell_id"]: r[1] for r in getattr(layouts, name)(p, **more).collect()}
+    few = run()
+    monkeypatch.setattr(layouts, "MAX_POINTS", 50)
+    many = run()
+    assert len(few) == len(many) == 150
+    if name == "spectral_clustering":
+        assert all((few[i] == few[0]) == (many[i] == many[0]) for i in range(150))
+    else:
+        a, b = (np.array([v[i] for i in range(150)]) for v in (few, many))
+        assert np.abs(a - b).max() <= 1e-6 * np.abs(a).max()
