@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,15 +152,16 @@ def tmm(frame: CellFrame) -> CellFrame:
     return replace(frame, x=frame.x.join(f, "cell_id").select("cell_id", "gene_id", F.log1p(F.col("value") / (F.col("f") / F.lit(mean))).alias("value")))
 
 
-def boxcox_lambda(v: np.ndarray) -> float:
-    """Maximum-likelihood lambda by golden section over [-5, 5]."""
-    lx = np.log(v)
-    sl = lx.sum()
+def boxcox_lambda(v: np.ndarray, times: np.ndarray | None = None) -> float:
+    """Maximum-likelihood lambda by golden section over [-5, 5] of values that occur ``times`` each."""
+    times = np.ones(len(v)) if times is None else times
+    lx, n = np.log(v), times.sum()
+    sl = (lx * times).sum()
 
     def loss(lam: float) -> float:
         y = lx if abs(lam) < 1e-12 else np.expm1(lam * lx) / lam
-        s = y.var()
-        return np.inf if not np.isfinite(s) or s <= 0 else 0.5 * len(v) * np.log(s) - (lam - 1) * sl
+        s = (times * (y - (times * y).sum() / n) ** 2).sum() / n
+        return np.inf if not np.isfinite(s) or s <= 0 else 0.5 * n * np.log(s) - (lam - 1) * sl
 
     a, b, g = -5.0, 5.0, (5**0.5 - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)
@@ -179,20 +180,28 @@ def boxcox_lambda(v: np.ndarray) -> float:
 
 @register("box_cox")
 def box_cox(frame: CellFrame) -> CellFrame:
-    """Per gene Box-Cox at its most likely lambda; near-constant genes stay as they are; dense."""
+    """Per gene Box-Cox at its most likely lambda; near-constant genes stay as they are; dense.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["value"].to_numpy(float)
-        if v.std() >= 1e-10:
+    A gene is fitted on its values and how often each occurs, and cells look
+    their value up, so that no task holds a gene's cells.
+    """
+    dense = frame.dense()
+
+    def one(table: pa.Table) -> pa.Table:
+        v, times = table.column("value").to_numpy(), table.column("times").to_numpy()
+        mean = (v * times).sum() / times.sum()
+        y = v
+        if ((v - mean) ** 2 * times).sum() / times.sum() >= 1e-20:
             s = v - v.min() + 1 if v.min() <= 0 else v
-            lam = boxcox_lambda(s)
+            lam = boxcox_lambda(s, times)
             y = np.log(s) if abs(lam) < 1e-12 else np.expm1(lam * np.log(s)) / lam
-            if np.isfinite(y).all():
-                v = y
-        return pdf.assign(value=v)
+            y = y if np.isfinite(y).all() else v
+        return pa.table({"gene_id": table.column("gene_id"), "value": v, "y": y})
 
-    dense = frame.dense()
-    return replace(frame, x=dense.groupBy("gene_id").applyInPandas(lambda pdf: one(pdf)[["cell_id", "gene_id", "value"]], dense.schema))
+    kind = dict(dense.dtypes)["gene_id"]
+    seen = dense.groupBy("gene_id", "value").agg(F.count(F.lit(1)).alias("times"))
+    map_ = seen.groupBy("gene_id").applyInArrow(one, f"gene_id {kind}, value double, y double")
+    return replace(frame, x=dense.join(map_, ["gene_id", "value"]).select("cell_id", "gene_id", F.col("y").alias("value")))
 
 
 @register("pearson_residuals")
