@@ -163,3 +163,30 @@ def test_box_cox_fits_values_not_cells(spark, monkeypatch):
     y = {r["cell_id"]: r["value"] for r in got.collect()}
     assert np.allclose([y[i] for i in range(400)], np.expm1(lam * np.log(v + 1)) / lam, atol=1e-5)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_co_occurrence_counts_no_pairs(spark):
+    from matrica.operators import clustering
+
+    rows = [(i, f"r{m}", "-1" if i % 7 == 0 and m == 3 else str(i % m)) for i in range(30) for m in (2, 3, 5)]
+    got = clustering.co_occurrence(spark.createDataFrame(rows, "cell_id bigint, run string, cluster string"))
+    at = {(i, r): c for i, r, c in rows if c != "-1"}
+    want = {(a, b): n / 3 for a in range(30) for b in range(a + 1, 30) if (n := sum((a, r) in at and at.get((a, r)) == at.get((b, r)) for r in ("r2", "r3", "r5")))}
+    assert {(r["a"], r["b"]): pytest.approx(r["share"]) for r in got.collect()} == want
+    after = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in after  # nothing is grouped once pairs are made
+
+
+def test_components_are_not_exploded(spark):
+    from matrica.frame import from_long
+    from matrica.operators import embeddings
+
+    x = np.random.default_rng(3).poisson(1.0, (40, 5)).astype(float)
+    f = from_long(spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(40) for j in range(5)], "cell_id bigint, gene_id string, value double"), spark.range(41).withColumnRenamed("id", "cell_id"))
+    frame, got = embeddings.run_pca(f, 3)
+    rep = frame.obsm["X_pca"]
+    full = np.vstack([x, np.zeros(5)])
+    load = np.array([r["loadings"] for r in got["loadings"].orderBy("gene_id").collect()])
+    vec = {r["cell_id"]: r["vec"] for r in rep.collect()}
+    assert np.allclose([vec[i] for i in range(41)], (full - full.mean(0)) @ load)
+    assert "Generate" not in rep._jdf.queryExecution().optimizedPlan().toString()
